@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from stratalog.llm import simhash
+from stratalog.llm import packing, pii, simhash, toxicity
 from stratalog.llm.common import materialize, read
+from stratalog.llm.queries import CATEGORIES, low_quality_and_toxic, tokenizer_path
 
 
-def near_duplicates(spark, docs, sf_dir):
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the classifier chain finds toxic go."""
+    chain = toxicity.fit(docs, low_quality_and_toxic(read(spark, sf_dir, "labels")), CATEGORIES)
+    return toxicity.score(docs, chain).filter("p_toxic < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def replace_personal_data(spark, docs, sf_dir):
+    """Personal data becomes surrogates; n_chars follows the new text."""
+    from pyspark.sql import functions as F
+
+    out = pii.replace(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Documents become sequences of at most 1024 tokens."""
+    return packing.pack(docs, tokenizer_path(), end=2, limit=1024)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("personal_data", replace_personal_data), ("packing", pack_sequences)]
 
-#: Fingerprints, the trained classifier and the tokenizer are beyond SQL.
+#: The classifier, the fingerprints and the tokenizer are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

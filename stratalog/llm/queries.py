@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.llm import embed_dedup, simhash, topk
+from stratalog.llm import embed_dedup, packing, pii, simhash, topk, toxicity
 from stratalog.llm.common import read
 
 
@@ -24,8 +24,37 @@ def op4_embedding(spark, sf_dir):
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def low_quality_and_toxic(labels):
+    """The chain's categories in the table ``labels``: it names one toxicity
+    category; low quality is the link before it."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, low_quality_and_toxic(read(spark, sf_dir, "labels")), CATEGORIES)
+    return toxicity.score(docs, chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), end=2, limit=1024)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_topk, op3_simhash, op4_embedding)}
+    return {f.__name__: f for f in (op2_topk, op3_simhash, op4_embedding, op5_toxicity, op8_pii, op10_packing)}
 
 
 def oracle_sql() -> dict:
