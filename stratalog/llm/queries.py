@@ -5,10 +5,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.llm import embed_dedup, packing, pii, simhash, topk, toxicity
+from stratalog.llm import brown, embed_dedup, html, packing, pii, secrets, simhash, spm, topk, toxicity
 from stratalog.llm.common import read
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark, sf_dir):
+    out = spm.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model_path())
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.col("ids_exact").alias("round_trip"))
+
+
 def op2_topk(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
     return topk.top_k(v, v.filter("vec_id % 20 = 0"), k=20, scale=64.0)
@@ -39,10 +50,26 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, chain).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_html(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
 
 
+def op9_brown(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    counts, frequent, model = brown.fit(docs.filter(~held_out))
+    scored = brown.score(docs, counts, frequent, model, held_out=held_out)
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -54,7 +81,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_topk, op3_simhash, op4_embedding, op5_toxicity, op8_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_simhash, op4_embedding, op5_toxicity, op6_secrets, op7_html, op8_pii, op9_brown, op10_packing)}
 
 
 def oracle_sql() -> dict:
