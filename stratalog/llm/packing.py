@@ -11,6 +11,7 @@ groups' leftovers, in ever fewer groups, to the last one.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 
 import numpy as np
@@ -23,60 +24,108 @@ from stratalog.llm.common import materialize
 
 #: Pieces in a group: what one task packs at once.
 GROUP = 20_000
-_CACHE = 400_000
+_CACHE = 200_000
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable
+    Latin-1 stands for itself, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
     """Ids of texts, as little-endian 32-bit bytes, the end id last.
 
-    The vocabulary's pre-tokens never span a space that separates two
-    non-space characters, so texts are encoded by chunks (a word with the space
-    before it), whose ids are remembered. Texts that hold other runs of white
-    space beside a space, or special tokens, go to the tokenizer whole.
+    Where the file is a byte-level BPE whose merges are in order of their ids,
+    ids come from a merge-rank encoder over its vocabulary, which gives the
+    same ids at a fraction of the time. Its pre-tokens never span a space that
+    separates two non-space characters, so texts are encoded by chunks (a word
+    with the space before it); the first chunks seen, which hold the frequent
+    ones, are remembered. Texts with other white space after a space are
+    encoded whole; those that hold a special token, and other kinds of file, go
+    to the tokenizer itself.
     """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.known = Tokenizer.from_file(path), end, {}
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tok, self.end, self.known = Tokenizer.from_file(path), np.array([end], "<u4").tobytes(), {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.fast = self._ranks(spec)
+
+    @staticmethod
+    def _ranks(spec: dict):
+        import public_tokenizers
+        import tiktoken
+
+        pre = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False or spec.get("normalizer"):
+            return None
+        alphabet, vocab = _byte_alphabet(), spec["model"]["vocab"]
+        merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
+        if None in merged or merged != sorted(merged) or (merged and merged[0] < 256):
+            return None
+        ordinary = {k: v for k, v in vocab.items() if all(c in alphabet for c in k) and v < 256 + len(merged)}
+        ranks = {bytes(alphabet[c] for c in k): v for k, v in ordinary.items()}
+        return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, texts):
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.fast(text), "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        chunks, whole, new = [], [], {}
+        known, fast, out, new = self.known, self.fast, [], {}
         for t in texts:
+            if fast is None or any(s in t for s in self.special):
+                out.append(self._slow(t) + self.end)
+                continue
             first, *rest = t.split(" ")
-            if "" in rest or (rest and not first) or any(s in t for s in self.special) or any(c[0].isspace() for c in rest):
-                whole.append(t), chunks.append(None)
+            if rest and (not first or any(not c or c[0].isspace() for c in rest)):
+                out.append(self._whole(t) + self.end)
                 continue
-            c = [first, *(" " + r for r in rest)]
-            chunks.append(c)
-            new.update(dict.fromkeys(x for x in c if x not in self.known))
-        if new:
-            self.known.update(zip(new, self._encode(list(new))))
-        whole = iter(self._encode(whole) if whole else ())
-        end = np.array([self.end], "<u4").tobytes()
-        known = self.known
-        return [(b"".join([known[x] for x in c]) if c is not None else next(whole)) + end for c in chunks]
+            parts = []
+            for c in (first, *(" " + r for r in rest)):
+                ids = known.get(c) or new.get(c)
+                if ids is None:
+                    ids = new[c] = np.array(fast(c), "<u4").tobytes()
+                parts.append(ids)
+            parts.append(self.end)
+            out.append(b"".join(parts))
+        if len(known) < _CACHE:
+            known.update((c, ids) for c, ids in new.items() if len(c) <= 64)
+        return out
+
+
+#: Encoders of this worker process, kept from task to task.
+_ENCODERS: dict = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
 
 
 def _pieces(path: str, end: int, limit: int, with_ids: bool):
     def run(batches):
-        encode = Encoder(path, end)
-        for b in batches:
-            keys, texts = b.column(0), [x or "" for x in b.column(1).to_pylist()]
-            for s in range(0, len(texts), 500):
+        encode = encoder(path, end)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 250):
+                b = whole.slice(s, 250)
+                keys, texts = b.column(0), [x or "" for x in b.column(1).to_pylist()]
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(encode(texts[s : s + 500])):
+                for i, raw in enumerate(encode(texts)):
                     n = len(raw) // 4
                     at, size, p = 0, n % limit or limit, 0
                     while at < n:
                         part = raw[4 * at : 4 * (at + size)]
-                        row.append(s + i), piece.append(p), start.append(at), length.append(size), crc.append(zlib.crc32(part))
+                        row.append(i), piece.append(p), start.append(at), length.append(size), crc.append(zlib.crc32(part))
                         if with_ids:
                             ids.append(part)
                         at, size, p = at + size, limit, p + 1

@@ -8,7 +8,7 @@ become byte pieces. Of equal scores the longer last piece wins.
 
 Pieces never hold a space mark after another character, nor a line feed (both
 are checked when a model is loaded), so the best path is the concatenation of
-the best paths of the spans between, and frequent spans are remembered.
+the best paths of the spans between, and the first spans seen, which hold the frequent ones, are remembered.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "\u2581"
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 class Model:
@@ -96,13 +96,11 @@ class Model:
         if not text:
             return np.empty(0, np.int32)
         known, parts = self.known, []
-        if len(known) > _CACHE:
-            known.clear()
         for span in self.spans.findall(SPACE + text.replace(" ", SPACE)):
             ids = known.get(span)
             if ids is None:
                 ids = np.array(self.viterbi(span), np.int32).tobytes()
-                if len(span) <= 64:
+                if len(span) <= 64 and len(known) < _CACHE:
                     known[span] = ids
             parts.append(ids)
         return np.frombuffer(b"".join(parts), np.int32)
@@ -116,6 +114,16 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
+#: Models of this worker process, kept from task to task.
+_MODELS: dict[str, Model] = {}
+
+
+def load(path: str) -> Model:
+    if path not in _MODELS:
+        _MODELS[path] = Model(path)
+    return _MODELS[path]
+
+
 def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the piece ids of ``text_col`` as array<int> in ``ids_col``,
     their CRC-32 (little-endian 32-bit ids) in ``<ids_col>_crc32`` and in
@@ -131,10 +139,10 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     at = kept.index(text_col)
 
     def run(batches):
-        m = Model(model)
+        m = load(model)
         for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
+            for s in range(0, whole.num_rows, 250):
+                b = whole.slice(s, 250)
                 texts = [x or "" for x in b.column(at).to_pylist()]
                 ids = [m.encode(t) for t in texts]
                 exact = [m.decode(i.tolist()) == t for i, t in zip(ids, texts)]
@@ -152,7 +160,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
     at = kept.index(ids_col)
 
     def run(batches):
-        m = Model(model)
+        m = load(model)
         for b in batches:
             texts = [None if x is None else m.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*kept, text_col])
