@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
+import string
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,10 @@ from stratalog.llm.common import materialize
 
 #: Pieces in a group: what one task packs at once.
 GROUP = 20_000
-_CACHE = 200_000
+#: Remembered words of an encoder.
+_CACHE = 400_000
+_RUN = re.compile(r" \s")
+_MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may begin a contraction
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -51,11 +57,12 @@ class Encoder:
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.known = Tokenizer.from_file(path), np.array([end], "<u4").tobytes(), {}
+        self.tok, self.end, self.known, self.marks = Tokenizer.from_file(path), array("I", [end]).tobytes(), {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._ranks(spec)
+        self.single = self.fast and self.fast._encode_single_piece
 
     @staticmethod
     def _ranks(spec: dict):
@@ -71,34 +78,52 @@ class Encoder:
             return None
         ordinary = {k: v for k, v in vocab.items() if all(c in alphabet for c in k) and v < 256 + len(merged)}
         ranks = {bytes(alphabet[c] for c in k): v for k, v in ordinary.items()}
-        return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _slow(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.fast(text), "<u4").tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, w: str) -> bytes:
+        """Ids of a space and the word w. Letters, and the marks after them, are
+        pre-tokens of their own; other words are cut by the pattern."""
+        plain = w.rstrip(_MARKS)
+        if not plain.isalpha():
+            return array("I", self.fast.encode_ordinary(" " + w)).tobytes()
+        ids = self.known.get(plain)
+        if ids is None:
+            ids = array("I", self.single(" " + plain)).tobytes()
+        if len(plain) < len(w):
+            marks = w[len(plain) :]
+            more = self.marks.get(marks)
+            if more is None:
+                more = array("I", self.single(marks)).tobytes()
+                if len(self.marks) < 10_000:
+                    self.marks[marks] = more
+            ids += more
+        return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, fast, out, new = self.known, self.fast, [], {}
+        known, out = self.known, []
         for t in texts:
-            if fast is None or any(s in t for s in self.special):
+            if self.fast is None or any(s in t for s in self.special):
                 out.append(self._slow(t) + self.end)
-                continue
-            first, *rest = t.split(" ")
-            if rest and (not first or any(not c or c[0].isspace() for c in rest)):
-                out.append(self._whole(t) + self.end)
-                continue
-            parts = []
-            for c in (first, *(" " + r for r in rest)):
-                ids = known.get(c) or new.get(c)
-                if ids is None:
-                    ids = new[c] = np.array(fast(c), "<u4").tobytes()
-                parts.append(ids)
-            parts.append(self.end)
-            out.append(b"".join(parts))
-        if len(known) < _CACHE:
-            known.update((c, ids) for c, ids in new.items() if len(c) <= 64)
+            elif t.startswith(" ") or t.endswith(" ") or _RUN.search(t):
+                out.append(array("I", self.fast.encode_ordinary(t)).tobytes() + self.end)
+            else:
+                words = t.split(" ")
+                first = words[0]
+                parts = list(map(known.get, words))
+                parts[0] = array("I", self.fast.encode_ordinary(first)).tobytes()  # no space before it
+                if None in parts:
+                    word, room = self._word, len(known) < _CACHE
+                    for i, x in enumerate(parts):
+                        if x is None:
+                            w = words[i]
+                            parts[i] = x = word(w)
+                            if room and len(w) <= 64:
+                                known[w] = x
+                parts.append(self.end)
+                out.append(b"".join(parts))
         return out
 
 
@@ -161,70 +186,71 @@ def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], limit: int, steps: int = 20_000) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], limit: int, width: int = 256) -> list[list[int]]:
     """Raise the sum of squared fills of underfull bins; empty bins go.
 
-    For the fullest underfull bin it looks, in other underfull bins from the
-    emptiest on, for a single item that fits (move), an item larger than one of
-    its own (one-for-one) or two items for one (two-for-one), and takes the
-    change that leaves the least room. A bin that nothing improves is done.
+    The fullest underfull bin takes, from the ``width`` emptiest ones, an item
+    that fits (move), a larger item for one of its own (one-for-one) or two
+    items for one (two-for-one, where the one fits in place of the larger):
+    the change that leaves it the least room. Items only pass from emptier to
+    fuller bins, so every change raises the sum and no bin is ever added; a
+    bin that nothing improves is done.
     """
-    full = [b for b in bins if sum(sizes[i] for i in b) == limit]
-    open_ = sorted((b for b in bins if sum(sizes[i] for i in b) < limit), key=lambda b: sum(sizes[i] for i in b))
-    done = full
-    while len(open_) > 1 and steps > 0:
-        target = open_.pop()
-        fill = sum(sizes[i] for i in target)
-        # items of the other open bins by size
-        where = sorted((sizes[i], n, i) for n, b in enumerate(open_[:256]) for i in b)
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    done = [b for b, f in zip(bins, fill) if f == limit]
+    open_ = sorted(((f, list(b)) for b, f in zip(bins, fill) if f < limit), key=lambda x: x[0])
+    while len(open_) > 1:
+        f, target = open_.pop()
+        near = open_[:width]
+        fills = [x for x, _ in near]
+        where = sorted((sizes[i], n, i) for n, (_, b) in enumerate(near) for i in b)
         only = [x[0] for x in where]
-        while fill < limit and where and steps > 0:
-            steps -= 1
-            room, best = limit - fill, None
+        changed = False
+        while f < limit and where:
+            room, best = limit - f, None
             at = bisect.bisect_right(only, room) - 1
             if at >= 0:
-                best = (only[at], (where[at],), None)
-            for j in set(target):
-                at = bisect.bisect_right(only, room + sizes[j]) - 1
-                if at >= 0 and only[at] > sizes[j] and (best is None or only[at] - sizes[j] > best[0]):
-                    best = (only[at] - sizes[j], (where[at],), j)
+                best = (only[at], (at,), None)
+            for size in sorted({sizes[i] for i in target}):
                 if best and best[0] == room:
                     break
-                lo, hi, want = 0, at, room + sizes[j]
+                at = bisect.bisect_right(only, room + size) - 1
+                if at >= 0 and only[at] > size and (best is None or only[at] - size > best[0]):
+                    best = (only[at] - size, (at,), size)
+                lo, hi, want = 0, at, room + size
                 while lo < hi:  # two items whose sum comes nearest to what fits
                     s = only[lo] + only[hi]
                     if s > want:
                         hi -= 1
-                    else:
-                        gain = s - sizes[j]
-                        if gain > 0 and (best is None or gain > best[0]):
-                            best = (gain, (where[lo], where[hi]), j)
-                        lo += 1
+                        continue
+                    n = where[hi][1]
+                    left = fills[n] - only[hi] - (only[lo] if where[lo][1] == n else 0)
+                    if s > size and left + size <= limit and (best is None or s - size > best[0]):
+                        best = (s - size, (lo, hi), size)
+                    lo += 1
             if best is None:
                 break
-            gain, taken, given = best
-            source = taken[0][1]
-            for size, n, i in taken:
-                open_[n].remove(i)
-                at = where.index((size, n, i), bisect.bisect_left(only, size))
-                where.pop(at), only.pop(at)
+            gain, places, given = best
+            home = where[places[-1]][1]
+            for at in reversed(places):
+                size, n, i = where.pop(at)
+                only.pop(at)
+                near[n][1].remove(i)
+                fills[n] -= size
                 target.append(i)
             if given is not None:
-                # goes where the largest item came from, if it fits there
-                target.remove(given)
-                source = taken[-1][1]
-                if sum(sizes[i] for i in open_[source]) + sizes[given] > limit:
-                    source = min(range(min(256, len(open_))), key=lambda n: sum(sizes[i] for i in open_[n]))
-                    if sum(sizes[i] for i in open_[source]) + sizes[given] > limit:
-                        open_.append([])
-                        source = len(open_) - 1
-                open_[source].append(given)
-                at = bisect.bisect_left(where, (sizes[given], source, given))
-                where.insert(at, (sizes[given], source, given)), only.insert(at, sizes[given])
-            fill += gain
+                j = next(i for i in target if sizes[i] == given)
+                target.remove(j)
+                near[home][1].append(j)
+                fills[home] += given
+                at = bisect.bisect_left(where, (given, home, j))
+                where.insert(at, (given, home, j)), only.insert(at, given)
+            f += gain
+            changed = True
         done.append(target)
-        open_ = sorted((b for b in open_ if b), key=lambda b: sum(sizes[i] for i in b))
-    return done + open_
+        if changed:
+            open_ = sorted([(x, b) for x, (_, b) in zip(fills, near) if b] + open_[width:], key=lambda x: x[0])
+    return done + [b for _, b in open_]
 
 
 def _pack_group(limit: int, last: bool):
