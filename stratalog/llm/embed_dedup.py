@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import components, discard, materialize, spanning
+from stratalog.llm.common import components, materialize, spanning
 
 CELL = 400
 BLOCK = 1024

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import bytes_of, components, discard, materialize, spanning
+from stratalog.llm.common import bytes_of, components, materialize, spanning
 
 RADIUS = 3
 #: Fingerprints at one key beyond which they are compared in blocks, each its own task.
@@ -72,6 +72,12 @@ def _fingerprint_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(bytes_of(b.column(1))).view(np.int64))], names=["id", "fp"])
 
 
+def _near(x: np.ndarray) -> np.ndarray:
+    """Whether the differing bits x (int64) are within the radius; as unsigned,
+    for numpy counts the bits of a signed number's absolute value."""
+    return np.bitwise_count(x.view(np.uint64)) <= RADIUS
+
+
 def _linked(f: np.ndarray, g: np.ndarray | None = None):
     """Spanning links among distinct f (or between f and g) within the radius."""
     same = g is None
@@ -79,7 +85,7 @@ def _linked(f: np.ndarray, g: np.ndarray | None = None):
     nodes = np.unique(np.concatenate([f, g]))
     a, b = [], []
     for i in range(0, len(f), 512):
-        x, y = np.nonzero(np.bitwise_count(f[i : i + 512, None] ^ g[None, :]) <= RADIUS)
+        x, y = np.nonzero(_near(f[i : i + 512, None] ^ g[None, :]))
         a.append(f[i : i + 512][x]), b.append(g[y])
     low = nodes[spanning(len(nodes), np.searchsorted(nodes, np.concatenate(a)), np.searchsorted(nodes, np.concatenate(b)))]
     out = low != nodes
@@ -106,7 +112,7 @@ def _meet(batches):
         size = np.diff(np.r_[start, len(k)])
         s = start[size == 2]
         x, y = f[s], f[s + 1]
-        near = np.bitwise_count(x ^ y) <= RADIUS
+        near = _near(x ^ y)
         a, b = [np.maximum(x, y)[near]], [np.minimum(x, y)[near]]
         for s, n in zip(start[size > 2], size[size > 2]):
             if n > GROUP:
