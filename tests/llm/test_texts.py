@@ -97,6 +97,15 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_frame_without_end_tags_and_inside_lines():
+    kept = lambda h: [t for t, s in html.lines(h) if s != html.FRAME]
+    assert kept("<article><p class=notice>Sale<p>One<li class='share'>x<li>Two</article>") == ["One", "Two"]
+    assert kept("<article><p>One <span class='ad'>buy <b>now</b></span>two</p></article>") == ["One two"]
+    assert kept("<p>One <span class=ad><div>buy</div></span>") == ["One"]
+    assert kept("<article><table><tr><td class=ad>x<td>a<tr><td>b</table>c</article>") == ["a", "b", "c"]
+    assert kept("<div class=cookie><p>We use</div><p>Main</p>") == ["Main"]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rnd = random.Random(4)
     for _ in range(60):
