@@ -92,13 +92,18 @@ def _bounds(batches):
 
 
 def _histogram(batches):
-    """Counts of scores by bin inside each query's interval [low, low + 2**span), in bins of 2**step."""
+    """Counts of scores by bin inside each query's interval [low, low + 2**span), in bins of 2**step.
+
+    A block sends its bins from the highest down to the one that holds its own
+    need-th score: the need-th over all blocks is never lower."""
     for r, qi, _, s, own in _each(batches):
-        low, shift, span = (np.frombuffer(x, np.int64) for x in (r.low, r.step, r.span))
+        low, shift, span, need = (np.frombuffer(x, np.int64) for x in (r.low, r.step, r.span, r.need))
         at = (s - low[:, None]) >> shift[:, None]
         fits = (at >= 0) & (at < (1 << (span - shift))[:, None]) & ~own
         q, _ = np.nonzero(fits)
-        n = np.bincount(q * BINS + at[fits], minlength=len(qi) * BINS)
+        n = np.bincount(q * BINS + at[fits], minlength=len(qi) * BINS).reshape(-1, BINS)
+        higher = np.cumsum(n[:, ::-1], axis=1)[:, ::-1] - n
+        n = np.where(higher < need[:, None], n, 0).ravel()
         full = np.flatnonzero(n)
         yield pd.DataFrame({"dim": r.dim, "qb": r.qb, "q": full // BINS, "bin": full % BINS, "n": n[full]})
 
