@@ -1,7 +1,7 @@
 """Toxicity by classifier chains.
 
-Categories are predicted one after another by linear (logistic) models over the
-presence of words; each later model also sees the earlier categories'
+Categories are predicted one after another by linear (logistic) models over
+words, each by log2(1 + its count); each later model also sees the earlier categories'
 probabilities. Those it is trained on are out-of-fold: a document's earlier
 probabilities come from models that have not seen it.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import string
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,11 +31,14 @@ CHI = 20.0
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
-def words(text: bytes) -> set[bytes]:
-    """Distinct words, A-Z in lower case, ASCII punctuation as white space, and
-    the first six bytes of longer ones, for inflected and compound words."""
-    found = set(text.translate(_BLANK).lower().split())
-    return found | {w[:6] + b"*" for w in found if len(w) > 6}
+def words(text: bytes) -> Counter:
+    """Counts of words, A-Z in lower case, ASCII punctuation as white space, and
+    of the first six bytes of longer ones, for inflected and compound words."""
+    found = Counter(text.translate(_BLANK).lower().split())
+    for w, n in list(found.items()):
+        if len(w) > 6:
+            found[w[:6] + b"*"] += n
+    return found
 
 
 @dataclass
@@ -46,11 +50,11 @@ class Chain:
     def predict(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities, one column a category."""
         out = np.zeros((len(texts), len(self.categories)))
-        hits = [np.fromiter((self.words[w] for w in words(t) if w in self.words), np.int64) for t in texts]
-        n = np.array([len(h) for h in hits], np.int64)
-        at, row = np.concatenate(hits) if len(hits) else np.empty(0, np.int64), np.repeat(np.arange(len(texts)), n)
+        hits = [(i, self.words[w], n) for i, t in enumerate(texts) for w, n in words(t).items() if w in self.words]
+        row, at, n = np.array(hits, np.int64).reshape(-1, 3).T
+        much = np.log2(1 + n)
         for c, w in enumerate(self.weights):
-            z = np.bincount(row, w[: len(self.words)][at], len(texts)) + out[:, :c] @ w[len(self.words) : -1] + w[-1]
+            z = np.bincount(row, w[: len(self.words)][at] * much, len(texts)) + out[:, :c] @ w[len(self.words) : -1] + w[-1]
             out[:, c] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         return out
 
@@ -71,6 +75,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3) -> np.ndarray:
     return w
 
 
+_WORDS = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))
+
+
 def _sample_rows(n_labels):
     def run(batches):
         for b in batches:
@@ -78,7 +85,19 @@ def _sample_rows(n_labels):
             # near copies share the words of smallest checksum
             sketch = [b",".join(b"%08x" % x for x in sorted(zlib.crc32(w) for w in f)[:4]).decode() for f in found]
             cols = [b.column(i + 1) for i in range(n_labels)]
-            yield pa.RecordBatch.from_arrays([pa.array(sketch), pa.array([sorted(f) for f in found], pa.list_(pa.binary())), *cols], names=["sketch", "words", *(f"y{i}" for i in range(n_labels))])
+            yield pa.RecordBatch.from_arrays([pa.array(sketch), pa.array([[{"w": w, "n": n} for w, n in sorted(f.items())] for f in found], _WORDS), *cols], names=["sketch", "words", *(f"y{i}" for i in range(n_labels))])
+
+    return run
+
+
+def _known(at: dict):
+    """Of each row's words those of the model, by number."""
+
+    def run(batches):
+        for b in batches:
+            found = [[(at[e["w"]], e["n"]) for e in ws if e["w"] in at] for ws in b.column(0).to_pylist()]
+            sides = [pa.array([[e[k] for e in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*sides, *b.columns[1:]], names=["at", "n", *b.schema.names[1:]])
 
     return run
 
@@ -99,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     ys = [f"y{i}" for i in range(len(categories))]
     # at most max_train rows of a few bytes: bounded by that parameter
     text = docs.select(F.col(id_col).alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", *ys)
-    rows = text.mapInArrow(_sample_rows(len(ys)), "sketch string, words array<binary>, " + ", ".join(f"{y} int" for y in ys))
+    rows = text.mapInArrow(_sample_rows(len(ys)), "sketch string, words array<struct<w binary, n int>>, " + ", ".join(f"{y} int" for y in ys))
     sample = materialize(rows.groupBy("sketch").agg(F.min("words").alias("words"), *(F.round(F.avg(y)).cast("int").alias(y) for y in ys)), "sample")
     total = sample.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     chain = Chain(list(categories))
@@ -107,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         chain.weights = [np.r_[np.zeros(i), -40.0] for i in range(len(ys))]
         return chain
     n = float(total["n"])
-    seen = sample.select(F.explode("words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("d"), *(F.sum(y).alias(y) for y in ys)).filter("d >= 5")
+    seen = sample.select(F.explode("words.w").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("d"), *(F.sum(y).alias(y) for y in ys)).filter("d >= 5")
 
     def chi(y):
         pos = float(total[y] or 0)
@@ -121,10 +140,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     for ws in best:
         for w in ws:
             chain.words.setdefault(w, len(chain.words))
-    part = sample.select(F.array_intersect("words", F.array(*(F.lit(w) for w in chain.words)) if chain.words else F.array().cast("array<binary>")).alias("words"), F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).alias("fold"), *ys).toArrow()
+    part = sample.select("words", F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).alias("fold"), *ys)
+    part = part.mapInArrow(_known(chain.words), "at array<int>, n array<int>, fold long, " + ", ".join(f"{y} int" for y in ys)).toArrow()
     x = np.zeros((part.num_rows, len(chain.words)))
-    for i, ws in enumerate(part.column("words").to_pylist()):
-        x[i, [chain.words[w] for w in ws]] = 1
+    for i, (at, n) in enumerate(zip(part.column("at").to_pylist(), part.column("n").to_pylist())):
+        x[i, at] = np.log2(1 + np.array(n))
     fold = part.column("fold").to_numpy()
     earlier = np.empty((len(x), 0))
     for y, own in zip(ys, best):

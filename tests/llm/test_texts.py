@@ -179,6 +179,22 @@ def test_toxicity_held_out_accuracy(spark):
     assert out.filter("(p_toxic >= 0.5) = (truth = 1)").count() >= 0.98 * test.count()
 
 
+def test_toxicity_counts_repeated_words(spark):
+    """Two kinds of toxic words a document teach a link; one kind, repeated, is enough for it."""
+    rnd = random.Random(9)
+    plain = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(200)]
+    bad = ["rotten", "vile", "foul", "mean", "grim", "nasty"]
+    rows = []
+    for i in range(500):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(rnd.choices(plain, k=40) + (rnd.sample(bad, 2) * 2 if toxic else [])), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), ["toxic"])
+    texts = [(" ".join(plain[:40] + [w] * 4)).encode() for w in bad] + [" ".join(plain[:40]).encode(), b""]
+    assert (chain.predict(texts)[:, 0] >= 0.5).tolist() == [True] * len(bad) + [False, False]
+    assert toxicity.words(b"Vile, vile!") == {b"vile": 2}
+
+
 def test_toxicity_without_labels_or_rows(spark):
     df = _toxic(spark, 20)
     none = toxicity.fit(df, df.select("doc_id", "toxic").limit(0), ["toxic"])
