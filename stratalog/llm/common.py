@@ -51,6 +51,14 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in either case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bytes_of(column: pa.ChunkedArray | pa.Array) -> list:
     """Texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

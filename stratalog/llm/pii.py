@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import materialize
+from stratalog.llm.common import materialize, unused
 
 _L = r"\p{L}\p{N}_.+-"
 _MALE = ["Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Господин", "господин", "г-н"]
@@ -170,19 +170,20 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = "surrogate-key-1
     ``_redrawn``) texts are read and written once and never shuffled.
     """
     text = F.col(f"`{text_col}`")
-    m = F.col("_m")
+    found_, text_, hash_, tries_ = (unused(docs, n) for n in ("_m", "_t", "_h", "_a"))
+    m = F.col(found_)
     found = docs.select(F.explode(entities(_matches(text))).alias("e"))
     moved = _redrawn(found.groupBy("e.canon").agg(F.min("e").alias("e")).select("e"), key)
-    rows = docs.withColumn("_m", entities(_matches(text)))
+    rows = docs.withColumn(found_, entities(_matches(text)))
     if moved is None:
         new = surrogates(m, key, lambda _: F.lit(0))
     else:
-        held = docs.select(F.xxhash64(text).alias("_h"), F.explode(entities(_matches(text))).alias("e")).select("_h", F.col("e.canon").alias("canon")).distinct()
-        tries = held.join(moved, "canon").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("_a"))
-        rows = rows.withColumn("_h", F.xxhash64(text)).join(tries, "_h", "left")
-        new = surrogates(m, key, lambda c: F.coalesce(F.try_element_at(F.col("_a"), c), F.lit(0)))
+        held = docs.select(F.xxhash64(text).alias(hash_), F.explode(entities(_matches(text))).alias("e")).select(hash_, F.col("e.canon").alias("canon")).distinct()
+        tries = held.join(moved, "canon").groupBy(hash_).agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias(tries_))
+        rows = rows.withColumn(hash_, F.xxhash64(text)).join(tries, hash_, "left")
+        new = surrogates(m, key, lambda c: F.coalesce(F.try_element_at(F.col(tries_), c), F.lit(0)))
     pieces = F.split(text, PATTERN, -1)
     rebuilt = F.when(F.size(m) > 0, F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), new, lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))).otherwise(text)
-    out = rows.withColumn("_t", rebuilt)
-    cols = [F.col("_t").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, *([F.size("_m").cast("long").alias(count_col)] if count_col else []))
+    out = rows.withColumn(text_, rebuilt)
+    cols = [F.col(text_).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*cols, *([F.size(found_).cast("long").alias(count_col)] if count_col else []))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import bytes_of, components, materialize, spanning
+from stratalog.llm.common import bytes_of, components, materialize, spanning, unused
 
 RADIUS = 3
 #: Fingerprints at one key beyond which they are compared in blocks, each its own task.
@@ -69,7 +69,7 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
 
 def _fingerprint_rows(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(bytes_of(b.column(1))).view(np.int64))], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(bytes_of(b.column(1))).view(np.int64)), b.column(2)], names=["id", "fp", "row"])
 
 
 def _near(x: np.ndarray) -> np.ndarray:
@@ -164,6 +164,26 @@ def near_links(prints: DataFrame) -> DataFrame:
     return links
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, row): row names a row by its id and text."""
+    i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    rows = docs.select(i.alias("id"), t.alias("text"), _row(id_col, text_col).alias("row"))
+    return materialize(rows.mapInArrow(_fingerprint_rows, "id long, fp long, row long"), "prints")
+
+
+def _row(id_col: str, text_col: str):
+    i = F.col(f"`{id_col}`").cast("long")
+    return F.xxhash64(i.isNull(), i, F.col(f"`{text_col}`"))
+
+
+def _named(prints: DataFrame) -> DataFrame:
+    """(fp, rep, g) of each distinct fingerprint: its row of smallest id as
+    (without id, id, row), and what names its group."""
+    reps = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "row")).alias("rep"))
+    group = components(near_links(prints.select("fp").distinct()))
+    return materialize(reps.join(group, reps.fp == group.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("g")), "named")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component) for every row of docs.
 
@@ -172,18 +192,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id takes its group's component (null if no member has an id).
     Other columns are ignored whatever their names; no rows give no rows.
     """
-    prints = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_rows, "id long, fp long"), "prints")
-    reps = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    group = components(near_links(prints.select("fp").distinct()))
-    named = reps.join(group, reps.fp == group.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("g"))
-    named = materialize(named, "named")
-    smallest = named.groupBy("g").agg(F.min("rep").alias("component"))
+    prints = _prints(docs, id_col, text_col)
+    named = _named(prints)
+    smallest = named.groupBy("g").agg(F.min("rep")["id"].alias("component"))
     return prints.join(named.join(smallest, "g").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each group the rows with its smallest id,
-    of equal ids one row. Rows without id stay (nothing names their group)."""
-    groups = simhash_groups(docs, id_col, text_col).filter("id = component").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(groups, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """docs with one row of each group of near copies: the one of smallest id,
+    rows without id last; of rows that share an id but not the text, the one of
+    smallest hash, while each of their groups keeps a row of its own."""
+    row, kept = unused(docs, "_row"), unused(docs, "_kept")
+    best = _named(_prints(docs, id_col, text_col)).groupBy("g").agg(F.min("rep")["row"].alias(kept)).select(kept).distinct()
+    rows = docs.withColumn(row, _row(id_col, text_col)).join(best, F.col(row) == F.col(kept), "left_semi")
+    return rows.dropDuplicates([id_col, row]).select(*(f"`{c}`" for c in docs.columns))

@@ -53,6 +53,15 @@ def test_simhash_by_brute_force(spark, docs):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({s for s in smallest.values() if s is not None})
+    assert kept.count() == len(smallest)
+
+
+def test_keep_one_names_rows_by_id_and_text(spark):
+    rows = [(5, "one two three four"), (3, "one two three four"), (5, "another text altogether"), (5, "another text altogether"), (None, "lone words"), (None, "lone words"), (None, "one two three four")]
+    df = spark.createDataFrame([(i, t, 0, 1) for i, t in rows], "doc_id long, text string, _row int, _KEPT int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(3, "one two three four", 0, 1), (5, "another text altogether", 0, 1), (None, "lone words", 0, 1)], key=str)
 
 
 @pytest.mark.parametrize("group", [4096, 8])
