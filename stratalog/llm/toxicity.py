@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +48,20 @@ class Chain:
     words: dict[bytes, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)  # words, then earlier categories, then the intercept
 
+    def _hits(self, text: bytes) -> dict[int, int]:
+        """Counts, by number, of the model's words in a text: ``words`` without those unknown."""
+        at, out = self.words, {}
+        for w, n in Counter(text.translate(_BLANK).lower().split()).items():
+            if w in at:
+                out[at[w]] = n
+            if len(w) > 6 and (i := at.get(w[:6] + b"*")) is not None:
+                out[i] = out.get(i, 0) + n
+        return out
+
     def predict(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities, one column a category."""
         out = np.zeros((len(texts), len(self.categories)))
-        hits = [(i, self.words[w], n) for i, t in enumerate(texts) for w, n in words(t).items() if w in self.words]
+        hits = [(i, at, n) for i, t in enumerate(texts) for at, n in self._hits(t).items()]
         row, at, n = np.array(hits, np.int64).reshape(-1, 3).T
         much = np.log2(1 + n)
         for c, w in enumerate(self.weights):
@@ -75,29 +86,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3) -> np.ndarray:
     return w
 
 
-_WORDS = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))
-
-
 def _sample_rows(n_labels):
     def run(batches):
-        for b in batches:
-            found = [words(t) for t in bytes_of(b.column(0))]
-            # near copies share the words of smallest checksum
-            sketch = [b",".join(b"%08x" % x for x in sorted(zlib.crc32(w) for w in f)[:4]).decode() for f in found]
-            cols = [b.column(i + 1) for i in range(n_labels)]
-            yield pa.RecordBatch.from_arrays([pa.array(sketch), pa.array([[{"w": w, "n": n} for w, n in sorted(f.items())] for f in found], _WORDS), *cols], names=["sketch", "words", *(f"y{i}" for i in range(n_labels))])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 250):
+                b = whole.slice(s, 250)
+                found = [words(t) for t in bytes_of(b.column(0))]
+                # near copies share the words of smallest checksum
+                sketch = [b",".join(b"%08x" % x for x in sorted(zlib.crc32(w) for w in f)[:4]).decode() for f in found]
+                kinds = [sorted(f) for f in found]
+                counts = [[f[w] for w in k] for f, k in zip(found, kinds)]
+                cols = [pa.array(sketch), pa.array(kinds, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), *b.columns[1:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["sketch", "words", "n", *(f"y{i}" for i in range(n_labels))])
 
     return run
 
 
 def _known(at: dict):
-    """Of each row's words those of the model, by number."""
+    """Of each row's words those of the model, by number, and their counts."""
+    kinds = pa.array(list(at), pa.binary())
 
     def run(batches):
         for b in batches:
-            found = [[(at[e["w"]], e["n"]) for e in ws if e["w"] in at] for ws in b.column(0).to_pylist()]
-            sides = [pa.array([[e[k] for e in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*sides, *b.columns[1:]], names=["at", "n", *b.schema.names[1:]])
+            words_, n = b.column(0), b.column(1)
+            found = pc.index_in(words_.flatten(), value_set=kinds)
+            known = found.is_valid()
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(words_).to_numpy())[known.to_numpy(zero_copy_only=False)]
+            ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+            sides = [pa.ListArray.from_arrays(ends, x.filter(known)) for x in (found, n.flatten())]
+            yield pa.RecordBatch.from_arrays([*sides, *b.columns[2:]], names=["at", "n", *b.schema.names[2:]])
 
     return run
 
@@ -118,15 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     ys = [f"y{i}" for i in range(len(categories))]
     # at most max_train rows of a few bytes: bounded by that parameter
     text = docs.select(F.col(id_col).alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", *ys)
-    rows = text.mapInArrow(_sample_rows(len(ys)), "sketch string, words array<struct<w binary, n int>>, " + ", ".join(f"{y} int" for y in ys))
-    sample = materialize(rows.groupBy("sketch").agg(F.min("words").alias("words"), *(F.round(F.avg(y)).cast("int").alias(y) for y in ys)), "sample")
+    rows = text.mapInArrow(_sample_rows(len(ys)), "sketch string, words array<binary>, n array<int>, " + ", ".join(f"{y} int" for y in ys))
+    sample = materialize(rows.groupBy("sketch").agg(F.min(F.struct("words", "n")).alias("t"), *(F.round(F.avg(y)).cast("int").alias(y) for y in ys)), "sample")
     total = sample.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     chain = Chain(list(categories))
     if not total["n"]:
         chain.weights = [np.r_[np.zeros(i), -40.0] for i in range(len(ys))]
         return chain
     n = float(total["n"])
-    seen = sample.select(F.explode("words.w").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("d"), *(F.sum(y).alias(y) for y in ys)).filter("d >= 5")
+    seen = sample.select(F.explode("t.words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("d"), *(F.sum(y).alias(y) for y in ys)).filter("d >= 5")
 
     def chi(y):
         pos = float(total[y] or 0)
@@ -140,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     for ws in best:
         for w in ws:
             chain.words.setdefault(w, len(chain.words))
-    part = sample.select("words", F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).alias("fold"), *ys)
+    part = sample.select("t.words", "t.n", F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).alias("fold"), *ys)
     part = part.mapInArrow(_known(chain.words), "at array<int>, n array<int>, fold long, " + ", ".join(f"{y} int" for y in ys)).toArrow()
     x = np.zeros((part.num_rows, len(chain.words)))
     for i, (at, n) in enumerate(zip(part.column("at").to_pylist(), part.column("n").to_pylist())):
