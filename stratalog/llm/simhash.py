@@ -24,6 +24,8 @@ from stratalog.llm.common import bytes_of, components, materialize, spanning, un
 RADIUS = 3
 #: Fingerprints at one key beyond which they are compared in blocks, each its own task.
 GROUP = 4096
+#: Fingerprints that one task sends to the keys of their balls (about 100 MB).
+SENT = 65_536
 _THIRDS = [(0, 22), (22, 43), (43, 64)]
 
 
@@ -147,13 +149,16 @@ def _block(pdf):
 
 def near_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that span every group
-    of fingerprints connected by at most three differing bits."""
+    of fingerprints connected by at most three differing bits. prints is read
+    twice, to count and to send it: best a written table."""
     keys = []
     for t, (low, high) in enumerate(_THIRDS):
         mask = ((1 << 64) - 1) ^ (((1 << high) - 1) ^ ((1 << low) - 1))
         kept = F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).bitwiseXOR(F.lit(_signed(t << low)).cast("long"))
         keys += [kept] + [kept.bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in range(64) if not low <= i < high]
-    met = materialize(prints.select(F.explode(F.array(*keys)).alias("k"), "fp").repartition("k").sortWithinPartitions("k").mapInArrow(_meet, "a long, b long, hot boolean"), "met")
+    # a row becomes 131: tasks are cut by rows, not by the bytes read
+    dealt = prints.repartition(max(1, -(-prints.count() // SENT)), "fp")
+    met = materialize(dealt.select(F.explode(F.array(*keys)).alias("k"), "fp").repartition("k").sortWithinPartitions("k").mapInArrow(_meet, "a long, b long, hot boolean"), "met")
     links = met.filter("not hot").select("a", "b").distinct()
     hot = met.filter("hot").select(F.col("a").alias("k"), F.col("b").alias("fp"))
     if not hot.isEmpty():
@@ -179,8 +184,8 @@ def _row(id_col: str, text_col: str):
 def _named(prints: DataFrame) -> DataFrame:
     """(fp, rep, g) of each distinct fingerprint: its row of smallest id as
     (without id, id, row), and what names its group."""
-    reps = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "row")).alias("rep"))
-    group = components(near_links(prints.select("fp").distinct()))
+    reps = materialize(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "row")).alias("rep")), "reps")
+    group = components(near_links(reps.select("fp")))
     return materialize(reps.join(group, reps.fp == group.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("g")), "named")
 
 
