@@ -106,6 +106,15 @@ def test_frame_without_end_tags_and_inside_lines():
     assert kept("<div class=cookie><p>We use</div><p>Main</p>") == ["Main"]
 
 
+def test_differencing_decides_outside_the_article(spark):
+    page = "<div>Site line</div><div class=post><p>{0} body</p></div><article><p>{0} teaser</p></article><aside><article>{0} aside</article></aside><section class=comments><article>{0} says</article></section>"
+    df = spark.createDataFrame([(i, f"http://t.org/{i}", page.format(w)) for i, w in enumerate(["One", "Two"])], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {0: "One body\nOne teaser", 1: "Two body\nTwo teaser"}
+    states = lambda h: html.lines(h)
+    assert states("<form id=all><nav>Menu</nav><article>Text</article></form>") == [("Menu", html.FRAME), ("Text", html.OPEN)]
+    assert states("<div class='page has-sidebar'><main>Text</main><div>Side</div></div>") == [("Text", html.OPEN), ("Side", html.FRAME)]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rnd = random.Random(4)
     for _ in range(60):
