@@ -115,6 +115,16 @@ def test_differencing_decides_outside_the_article(spark):
     assert states("<div class='page has-sidebar'><main>Text</main><div>Side</div></div>") == [("Text", html.OPEN), ("Side", html.FRAME)]
 
 
+def test_copies_are_not_neighbours(spark):
+    plain = "<p>Shared line</p><p>{}</p><p>Bottom</p>"
+    rows = [(1, "http://c.org/a", plain.format("one")), (1, "http://c.org/a", plain.format("one")), (2, "http://c.org/b", "<nav>x</nav>" + plain.format("one")), (3, "http://c.org/c", "<nav>x</nav>")]
+    rows += [(4, "http://c.org/d", plain.format("two")), (5, "http://c.org/e", plain.format("two")), (6, "http://d.org/a", plain.format("six")), (7, "http://d.org/b", plain.format("six")), (7, "http://d.org/b", plain.format("six"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in html.extract(df.coalesce(1)).collect())
+    whole = "Shared line\nsix\nBottom"
+    assert got == [(1, "one"), (1, "one"), (2, "one"), (3, ""), (4, "two"), (5, "two"), (6, whole), (7, whole), (7, whole)]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rnd = random.Random(4)
     for _ in range(60):
