@@ -1,0 +1,151 @@
+"""Near copies for the corpus pipeline: five-word shingle sets of Jaccard
+similarity 0.8 or more.
+
+MinHash bands find candidates: a pair of similarity 0.8 shares one of BANDS
+keys of ROWS minima with probability 1 - (1 - 0.8**4)**16 = 0.9998, and every
+candidate is verified on the whole sets, so no pair below the similarity links.
+Texts with one set are one node. In a key's bucket, sorted by the next band's
+key, neighbours are verified first; then members of different groups, each with
+the WINDOW before it, so a bucket costs its size times WINDOW, not its square.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratalog.llm.common import bytes_of, components, materialize, unused
+from stratalog.llm.simhash import _row, shingle_hashes
+
+WIDTH, SIMILAR = 5, 0.8
+BANDS, ROWS, WINDOW = 16, 4, 32
+_RND = np.random.default_rng(42)
+_FACTORS = _RND.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_TERMS = _RND.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WIDTH))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """int64 keys, a row for each set (none empty), a column for each band."""
+    out = np.empty((len(sets), BANDS), np.uint64)
+    i = 0
+    while i < len(sets):
+        j, held = i, 0
+        while j < len(sets) and (j == i or held + len(sets[j]) <= 30_000):
+            held += len(sets[j])
+            j += 1
+        h = np.concatenate(sets[i:j])
+        n = np.array([len(s) for s in sets[i:j]])
+        start = np.cumsum(n) - n
+        for band in range(BANDS):
+            k = np.full(j - i, band + 1, np.uint64)
+            for f in range(band * ROWS, (band + 1) * ROWS):
+                k = (k ^ np.minimum.reduceat(h * _FACTORS[f] + _TERMS[f], start)) * _MIX
+                k ^= k >> np.uint64(29)
+            out[i:j, band] = k
+        i = j
+    return out.view(np.int64)
+
+
+def _sketch(batches):
+    for whole in batches:
+        for s in range(0, whole.num_rows, 200):
+            b = whole.slice(s, 200)
+            sets = [shingle_set(t) for t in bytes_of(b.column(1))]
+            full = [i for i, x in enumerate(sets) if len(x)]
+            keys: list = [[]] * len(sets)
+            for i, k in zip(full, band_keys([sets[i] for i in full]).tolist()):
+                keys[i] = k
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "row", "node", "n", "keys"],
+            )
+
+
+def _pairs(window: int):
+    """Over (key, node, n, group) sorted by key: pairs of a key's rows at most
+    window apart, of different groups; ``fits`` where their sizes allow the similarity."""
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] * 4
+        for b in batches:
+            old = len(held[0])
+            k, node, n, group = held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
+            for lag in range(1, window + 1):
+                j = np.arange(max(lag, old), len(k))
+                j = j[(k[j] == k[j - lag]) & (group[j] != group[j - lag])]
+                if len(j):
+                    x, y, p, q = node[j], node[j - lag], n[j], n[j - lag]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(np.minimum(p, q) >= SIMILAR * np.maximum(p, q) - 1e-9)], names=["a", "b", "fits"])
+            held = [x[-window:] for x in held]
+
+    return run
+
+
+def _set_rows(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in bytes_of(b.column(1))], pa.binary())], names=["node", "s"])
+
+
+def _verify(batches):
+    for b in batches:
+        near = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
+        keep = pa.array(near, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+
+def _meet(nodes: DataFrame, window: int) -> DataFrame:
+    """Distinct candidates (a, b, fits) among nodes (node, n, keys, g)."""
+    later = F.concat(F.slice("keys", 2, BANDS), F.slice("keys", 1, 1))
+    rows = nodes.select("node", F.col("n").cast("long").alias("n"), "g", F.explode(F.arrays_zip(F.col("keys").alias("k"), later.alias("next"))).alias("e"))
+    rows = rows.select(F.col("e.k").alias("k"), "node", "n", "g", F.col("e.next").alias("next")).repartition("k").sortWithinPartitions("k", "next", "node")
+    return rows.select("k", "node", "n", "g").mapInArrow(_pairs(window), "a long, b long, fits boolean").distinct()
+
+
+def near_groups(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components (node, component) of nodes (node, n, keys, row) with a near
+    copy; texts (row, text) holds their texts. Both are read twice or more."""
+    first = materialize(_meet(nodes.withColumn("g", F.col("node")), 1), "candidates")
+    crowded = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    wanted = nodes.select("node", "row").join(crowded, "node", "left_semi")
+    sets = materialize(texts.join(wanted, "row").select("node", "text").mapInArrow(_set_rows, "node long, s binary").dropDuplicates(["node"]), "sets")
+
+    def verified(pairs):
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+
+    links = materialize(verified(first.filter("fits")), "near")
+    group = components(links).withColumnRenamed("component", "c")
+    # within a group all is settled: only what lies between groups is compared further
+    rest = nodes.join(crowded, "node", "left_semi").join(group, "node", "left").select("node", "n", "keys", F.coalesce("c", "node").alias("g"))
+    more = _meet(rest, WINDOW).filter("fits").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    return components(links.union(verified(more)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: the one of smallest id,
+    rows without id last; of rows that share an id but not the text, the one of
+    smallest hash, while each of their groups keeps a row of its own. Texts
+    without words are copies of each other."""
+    row, kept = unused(docs, "_row"), unused(docs, "_kept")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), _row(id_col, text_col).alias("row"))
+    prints = materialize(texts.mapInArrow(_sketch, "id long, row long, node long, n int, keys array<long>"), "sketches")
+    least = F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "row")).alias("rep")
+    nodes = materialize(prints.groupBy("node").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    group = near_groups(nodes.select("node", "n", "keys", F.col("rep.row").alias("row")), texts.select("row", "text"))
+    named = nodes.select("node", "rep").join(group, "node", "left").select("rep", F.coalesce("component", "node").alias("g"))
+    best = materialize(named.groupBy("g").agg(F.min("rep")["row"].alias(kept)).select(kept).distinct(), "kept")
+    rows = docs.withColumn(row, _row(id_col, text_col)).join(best, F.col(row) == F.col(kept), "left_semi")
+    return rows.dropDuplicates([id_col, row]).select(*(f"`{c}`" for c in docs.columns))

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from stratalog.llm.common import read
 
@@ -20,3 +22,38 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir) if "text" in docs.columns else docs
     assert docs.count() == 0
+
+
+def test_near_copies_by_brute_force(spark, sf_dir):
+    """Five-word shingles, Jaccard 0.8: chains of edited words, copies, rows without words or ids."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(500)]
+    texts = []
+    for n in (6, 30, 120, 300):
+        for _ in range(4):
+            t = rnd.choices(words, k=n)
+            for _ in range(12):
+                texts.append(" ".join(t))
+                t = list(t)
+                for _ in range(rnd.choice([0, 1, 1, 2, n // 20])):
+                    t[rnd.randrange(n)] = rnd.choice(words)
+    texts += ["", None, " \n", "one two", "One  two", "three"]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
+    rnd.shuffle(rows)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    s = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if s[i] == s[j] or len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for g, (i, t) in zip(group, rows):
+        first[g] = min(first.get(g, (True, 0, "")), (i is None, i or 0, t or "")) if g in first else (i is None, i or 0, t or "")
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert len(kept) == len(first) < len(rows) // 2
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(i for nil, i, _ in first.values() if not nil)
