@@ -249,6 +249,22 @@ def test_brown_base_scores_by_brute_force(spark, monkeypatch):
     assert brown.score(df, *empty).count() == len(texts)
 
 
+def test_every_seen_word_is_clustered(spark):
+    """Words beyond the first items get the class of their contexts, whatever their suffix."""
+    rnd = random.Random(7)
+    kinds = [[f"{k}{i}xyz" for i in range(600)] for k in "ab"]  # one suffix; kinds alternate
+    weight = [4] * 500 + [3] * 100
+    texts = [" ".join(rnd.choices(kinds[j % 2], weight)[0] for j in range(200)) for _ in range(1000)] + ["rare"]
+    counts, frequent, model = brown.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    later = {w: int(model.cls[i]) for w, i in model.item.items() if i >= brown.N_ITEMS}
+    first = {w: int(model.cls[i]) for w, i in model.item.items() if i < brown.ITEMS}
+    c = Counter(w.encode() for t in texts for w in t.split())
+    assert {*later, *first} == {w for w, n in c.items() if n >= brown.SEEN or w in first} and len(later) > 100
+    of = {k: Counter(w[:1] for w, x in first.items() if x == k).most_common(1)[0][0] for k in set(first.values())}
+    assert sum(of.get(k) == w[:1] for w, k in later.items()) >= 0.95 * len(later)
+    assert model.size.sum() == model.total
+
+
 def test_exchange_finds_planted_classes():
     rnd = random.Random(1)
     import numpy as np
