@@ -98,7 +98,7 @@ def guess_cost(value: str) -> float:
 
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; the base kinds first found stay,
-    a guessed span joins where it overlaps none of them."""
+    a guessed span joins where it reaches beyond each of them."""
     out = []
     if ":" in text or "=" in text:
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -110,7 +110,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         for m in CONTEXT.finditer(text):
             at = 1 if m[1] is not None else 2
             s, e = m.span(at)
-            if not any(s < y and x < e for _, x, y in base) and guess_cost(m[at]) >= GUESSES:
+            if not any(x <= s and e <= y for _, x, y in base) and guess_cost(m[at]) >= GUESSES:
                 out.append(("guess", s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 

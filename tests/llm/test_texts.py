@@ -75,6 +75,12 @@ def test_guess_costs():
     assert [k for k, *_ in found] == ["guess", "guess"]
 
 
+def test_guessed_spans_reach_beyond_base_spans():
+    t = "password=Tr0ub4dor9$3xK! and secret: abcdefgh1$Qz7#mW2!p or token = kX9vQ2mZ7pL4"
+    found = {(k, t[s:e]) for k, s, e in secrets.spans(t)}
+    assert found == {("assign", "password=Tr0ub4dor9"), ("guess", "Tr0ub4dor9$3xK!"), ("assign", "secret: abcdefgh1"), ("guess", "abcdefgh1$Qz7#mW2!p"), ("assign", "token = kX9vQ2mZ7pL4")}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li>Menu</li></ul></nav>
 <div class="ad">Buy</div><div id="cookie-notice">Accept</div>{body}<section class="comments"><p>First!</p></section><aside>Side</aside><form><p>Search</p></form><footer>&copy; Us</footer></body></html>"""
 
