@@ -25,14 +25,20 @@ _TITLE = "|".join(sorted(_MALE + _FEMALE, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 
+_IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+_CARD = r"(?<![\d+])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+#: Where a number after a country code is over: another entity begins.
+_NEXT = rf"(?!{_IP}|{_CARD}|{_SSN})"
+
 #: Kind -> pattern, in order of precedence.
 PATTERNS = {
     "email": rf"(?<![{_L}])[{_L}]++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)+",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
+    "ip": _IP,
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\d+])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\d])(?:\+\d[\d ().-]{6,18}\d|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
+    "card": _CARD,
+    "ssn": _SSN,
+    "phone": rf"(?<![\p{{L}}\d])(?:\+\d[\d ().-]{{5}}(?:{_NEXT}[\d ().-]){{1,13}}{_NEXT}\d|\(\d{{2,4}}\) ?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?!\d)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 _NUMBERS = "|".join(PATTERNS[k] for k in ("ip", "card", "ssn", "phone"))

@@ -171,6 +171,14 @@ def test_surrogates(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_adjacent_entities(spark):
+    texts = ["+1 (826) 555-4081 190.20.30.41", "+1 (826) 555-4081", "190.20.30.41", "+1 (826) 555-4081 123-45-6789", "123-45-6789", "+49 30.12.34.56"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace(df, count_col="n").collect()}
+    assert got[0] == (f"{got[1][0]} {got[2][0]}", 2) and got[3] == (f"{got[1][0]} {got[4][0]}", 2)
+    assert got[5][1] == 1 and got[5][0].startswith("+49 ") and got[5][0] != texts[5]
+
+
 def test_colliding_surrogates_are_drawn_anew(spark, monkeypatch):
     """Two-digit surrogates of many entities must collide; the results do not."""
     true = pii._hash
