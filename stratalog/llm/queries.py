@@ -59,7 +59,7 @@ def op7_html(spark, sf_dir):
 
 
 def op8_pii(spark, sf_dir):
-    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), count_col="n_entities")
 
 
 def op9_brown(spark, sf_dir):

@@ -151,7 +151,7 @@ def test_surrogates(spark):
         "Mrs. Anna Smith met Mr Smith; Herr Müller and г-жа Иванова.", "SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00", "Nothing here, version 2.0 of 1999.", "", None, "7536784127813050 4845168114407329",
     ]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, _m string, canon int")
-    out = pii.replace(df, count_col="n")
+    out = pii.replace(df, "key", count_col="n")
     assert out.columns == ["doc_id", "text", "_m", "canon", "n"]
     got = {r.doc_id: r.text for r in out.collect()}
     assert (got[4], got[5], got[6]) == (texts[4], "", None)
@@ -166,7 +166,7 @@ def test_surrogates(spark):
     names = re.fullmatch(r"Mrs\. (\w+na) (\w+) met Mr (\w+); Herr (\w+) and г-жа ([а-я]+)\.", got[2], re.I)
     assert names and names[2] == names[3] and names[2] != names[4]
     assert len({*re.findall(r"\d{16}", got[7])}) == 2
-    assert pii.replace(df.limit(0)).count() == 0
+    assert pii.replace(df.limit(0), "key").count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
@@ -174,7 +174,7 @@ def test_surrogates(spark):
 def test_adjacent_entities(spark):
     texts = ["+1 (826) 555-4081 190.20.30.41", "+1 (826) 555-4081", "190.20.30.41", "+1 (826) 555-4081 123-45-6789", "123-45-6789", "+49 30.12.34.56"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n) for r in pii.replace(df, count_col="n").collect()}
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace(df, "key", count_col="n").collect()}
     assert got[0] == (f"{got[1][0]} {got[2][0]}", 2) and got[3] == (f"{got[1][0]} {got[4][0]}", 2)
     assert got[5][1] == 1 and got[5][0].startswith("+49 ") and got[5][0] != texts[5]
 
@@ -184,11 +184,48 @@ def test_colliding_surrogates_are_drawn_anew(spark, monkeypatch):
     true = pii._hash
     monkeypatch.setattr(pii, "_hash", lambda key, kind, canon, attempt: F.when(attempt == 0, F.sha2(F.lit("one"), 256)).otherwise(true(key, kind, canon, attempt)))
     df = spark.createDataFrame([(i, f"call 212-555-{1000 + i % 30} and 10.0.0.{i % 30}") for i in range(60)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.replace(df).collect()}
+    got = {r.doc_id: r.text for r in pii.replace(df, "key").collect()}
     assert len(set(got.values())) == 30 and all(got[i] == got[i + 30] for i in range(30))
     assert len({x for t in got.values() for x in re.findall(r"\d+\.\d+\.\d+\.\d+", t)}) == 30
 
 
+def test_long_and_crowded_entities(spark):
+    """Addresses of 40,000 characters, and more of one shape than the shape has room for."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a@b" + ".c" * 20_000, "x " * 100_000 + "me@host.org", "Mr A" + "b" * 50_000, "+1" + " " * 50_000 + "5", " ".join(f"{x}@{y}.co" for x in letters for y in letters)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(df, "key").collect()}
+    assert re.fullmatch(r"[a-z]@[a-z](\.[a-z])+\.c", got[0]) and len(got[0]) == len(texts[0]) and got[0] != texts[0]
+    assert got[1].startswith("x " * 100_000) and "me@host" not in got[1] and got[3] == texts[3]
+    mails = got[4].split(" ")
+    assert len(mails) == len(set(mails)) == 676 and all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in mails)
+
+
+def test_names_first_last_and_alone(spark):
+    texts = ["Mrs. Anna Smith called. Anna said hello. Smith left. John Brown mailed.", "Dr. Jane Roe, 06 12 34 56 78 or 2001:db8::ff00:42:8329 and fe80::1.", "Smith and Anna in another text stay", "Anna Maria K. Berg", "std::vector a::b 12:30:45"]
+    texts += [f"Mrs {a}{b}{c} Smith" for a in "BCDFGHKLMN" for b in "abcdefgh" for c in "klmnoprstuvw"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(df, "key").collect()}
+    m = re.fullmatch(r"Mrs\. (\w+na) (\w+s) called\. (\w+) said hello\. (\w+) left\. (\w+r) (\w+s) mailed\.", got[0])
+    assert m and m[1] == m[3] and m[2] == m[4] and not {"Anna", "Smith", "John", "Brown"} & set(re.findall(r"\w+", got[0]))
+    n = re.fullmatch(r"Dr\. (\w+na) (\w+s), \d\d \d\d \d\d \d\d \d\d or ([0-9a-f]+:\w+::\w+:\w+:\w+) and ([0-9a-f]{4}::\d)\.", got[1])
+    assert n and "06 12" not in got[1] and n[3] != "2001:db8::ff00:42:8329" and n[4] != "fe80::1"
+    assert got[2] == texts[2] and got[4] == texts[4]
+    four = got[3].split(" ")
+    assert len(four) == 4 and four[0] == m[1] and re.fullmatch(r"[A-Z]\.", four[2]) and not {"Maria", "Berg"} & set(four)
+    people = [got[i] for i in range(5, len(texts))]
+    assert len(people) == len(set(people)) == 960 and {p.split(" ")[-1] for p in people} == {m[2]}
+
+
+def test_surrogates_need_a_key_and_follow_it(spark):
+    df = spark.createDataFrame([(1, "mail bob@host.org")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.replace(df, "")
+    one, other, again = (pii.replace(df, k).first().text for k in ("a", "b", "a"))
+    assert one == again != other
+    assert pii.session_key(spark) == pii.session_key(spark)
+
+
 def _toxic(spark, n=600):
     rnd = random.Random(8)
     words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(200)]
