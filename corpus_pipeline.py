@@ -22,7 +22,7 @@ def replace_personal_data(spark, docs, sf_dir):
     """Personal data becomes surrogates; n_chars follows the new text."""
     from pyspark.sql import functions as F
 
-    out = pii.replace(docs)
+    out = pii.replace(docs, pii.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
