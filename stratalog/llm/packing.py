@@ -30,6 +30,8 @@ GROUP = 20_000
 #: Remembered words of an encoder.
 _CACHE = 400_000
 _RUN = re.compile(r" \s")
+#: Runs of white space for which the fast encoder's pattern may run out of stack.
+_LONG = re.compile(r"\s{256}")
 _MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may begin a contraction
 
 
@@ -50,8 +52,8 @@ class Encoder:
     separates two non-space characters, so texts are encoded by chunks (a word
     with the space before it); the first chunks seen, which hold the frequent
     ones, are remembered. Texts with other white space after a space are
-    encoded whole; those that hold a special token, and other kinds of file, go
-    to the tokenizer itself.
+    encoded whole; those that hold a special token or 256 white-space
+    characters in a row, and other kinds of file, go to the tokenizer itself.
     """
 
     def __init__(self, path: str, end: int):
@@ -105,7 +107,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         for t in texts:
-            if self.fast is None or any(s in t for s in self.special):
+            if self.fast is None or any(s in t for s in self.special) or (len(t) >= 256 and _LONG.search(t)):
                 out.append(self._slow(t) + self.end)
             elif t.startswith(" ") or t.endswith(" ") or _RUN.search(t):
                 out.append(array("I", self.fast.encode_ordinary(t)).tobytes() + self.end)
@@ -186,7 +188,7 @@ def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], limit: int, width: int = 256) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], limit: int, width: int | None = 256) -> list[list[int]]:
     """Raise the sum of squared fills of underfull bins; empty bins go.
 
     The fullest underfull bin takes, from the ``width`` emptiest ones, an item
@@ -194,7 +196,7 @@ def local_search(bins: list[list[int]], sizes: list[int], limit: int, width: int
     items for one (two-for-one, where the one fits in place of the larger):
     the change that leaves it the least room. Items only pass from emptier to
     fuller bins, so every change raises the sum and no bin is ever added; a
-    bin that nothing improves is done.
+    bin that nothing improves is done. ``width`` None looks at all bins.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     done = [b for b, f in zip(bins, fill) if f == limit]
@@ -249,21 +251,29 @@ def local_search(bins: list[list[int]], sizes: list[int], limit: int, width: int
             changed = True
         done.append(target)
         if changed:
-            open_ = sorted([(x, b) for x, (_, b) in zip(fills, near) if b] + open_[width:], key=lambda x: x[0])
+            open_ = sorted([(x, b) for x, (_, b) in zip(fills, near) if b] + open_[len(near) :], key=lambda x: x[0])
     return done + [b for _, b in open_]
 
 
-def _pack_group(limit: int, last: bool):
-    """Rows of full bins get their place; in all but the last round the rest
-    passes on with a null place."""
+def _pack_group(limit: int, last: bool, width: int | None):
+    """Rows get their bin and place; in all but the last round those of the
+    emptiest bins pass on with bin -1."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True]).reset_index(drop=True)
         sizes = pdf.length.tolist()
-        bins = local_search(best_fit(sizes, limit), sizes, limit)
+        bins = local_search(best_fit(sizes, limit), sizes, limit, width)
+        fills = [sum(sizes[i] for i in b) for b in bins]
+        under = sorted((n for n, f in enumerate(fills) if f < limit), key=lambda n: (-fills[n], n))
+        passed, room = set(), sum(len(bins[n]) for n in under) // 2
+        if not last:
+            for n in under:
+                room -= len(bins[n])
+                if room < 0:
+                    passed.add(n)
         bin_, offset = np.full(len(pdf), -1), np.zeros(len(pdf), np.int64)
         for n, b in enumerate(bins):
-            if last or sum(sizes[i] for i in b) == limit:
+            if n not in passed:
                 at = 0
                 for i in b:
                     bin_[i], offset[i] = n, at
@@ -273,13 +283,15 @@ def _pack_group(limit: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, width: int | None = 256) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset,
     and with ``with_ids`` the ids as little-endian 32-bit binary.
 
-    A null or empty text is a document of the end id alone; repeated rows and
-    rows with null ids are packed like others; only documents over the limit
-    are cut. Sequence ids are unique, not dense; no rows give no rows.
+    A null or empty text is a document of the end id alone; texts of any length
+    are encoded whole; repeated rows and rows with null ids are packed like
+    others; only documents over the limit are cut. ``width`` bounds the bins
+    that a step of the local search looks at (None: all of its group).
+    Sequence ids are unique, not dense; no rows give no rows.
     """
     extra = ", ids binary" if with_ids else ""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -293,19 +305,12 @@ def pack(docs: DataFrame, tokenizer: str, end: int, limit: int = 1024, id_col: s
         groups = max(1, -(-n // GROUP))
         last = groups == 1
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("int"))
-        done = materialize(dealt.groupBy("g").applyInPandas(_pack_group(limit, last), "row long, length long, g int, bin long, offset long"), "placed")
+        done = materialize(dealt.groupBy("g").applyInPandas(_pack_group(limit, last, width), "row long, length long, g int, bin long, offset long"), "placed")
         mine = done.filter("bin >= 0").select("row", ((F.lit(level).cast("long") * (1 << 56)) + F.col("g").cast("long") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
         placed = mine if placed is None else placed.union(mine)
         if last:
             break
-        rest = done.filter("bin < 0").select("row", "length")
-        left = rest.count()
-        if left > 0.8 * n:  # no gain from mixing again: leave the rest as packed
-            final = dealt.select("row", "length", "g") if level == 0 else rest.withColumn("g", F.pmod(F.xxhash64("row", F.lit(level + 1)), F.lit(max(1, -(-left // GROUP)))).cast("int"))
-            final = final.join(rest.select("row"), "row", "left_semi")
-            done = final.groupBy("g").applyInPandas(_pack_group(limit, True), "row long, length long, g int, bin long, offset long")
-            placed = placed.union(done.select("row", ((F.lit(level + 1).cast("long") * (1 << 56)) + F.col("g").cast("long") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset"))
-            break
-        n, level = left, level + 1
+        rest, level = done.filter("bin < 0").select("row", "length"), level + 1
+        n = rest.count()
     part = pieces.filter(F.col("length") < limit).join(placed, "row").drop("row")
     return full.unionByName(part)

@@ -155,6 +155,45 @@ def test_local_search_never_adds_bins():
         assert len(packing.local_search(packing.best_fit(sizes, 100), sizes, 100)) <= len(packing.best_fit(sizes, 100))
 
 
+def test_local_search_empties_bins_that_best_fit_leaves():
+    rnd = np.random.default_rng(1)
+    fewer = 0
+    for _ in range(100):
+        sizes = rnd.integers(15, 60, rnd.integers(10, 60)).tolist()
+        start = packing.best_fit(sizes, 100)
+        for width in (256, None):
+            out = packing.local_search([list(b) for b in start], sizes, 100, width)
+            assert sorted(i for b in out for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in out)
+            assert -(-sum(sizes) // 100) <= len(out) <= len(start)
+        fewer += len(out) < len(start)
+    assert fewer >= 10
+
+
+def test_groups_pass_on_what_does_not_fill_bins(spark, monkeypatch):
+    """Lengths that never fill a bin exactly, and lengths that do, over several levels of groups."""
+    monkeypatch.setattr(packing, "GROUP", 20)
+    texts = ["a b" for _ in range(150)] + ["a b c d e f g h i" for _ in range(70)] + ["x"] * 61
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(df, queries.tokenizer_path(), end=2, limit=16).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 16
+    assert len(used) <= len(packing.local_search(packing.best_fit([r.length for r in rows], 16), [r.length for r in rows], 16)) + 3
+
+
+def test_packing_encodes_white_space_of_any_length(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["\n" * 1_000_000, "a" + " " * 1_000_000 + "b", " \t" * 200_000, "word " * 200_000, "x" * 300_000]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer_path(), end=2, with_ids=True).collect()
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    for i, t in enumerate(texts):
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert b"".join(bytes(r.ids) for r in mine) == np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+
+
 def test_packing(spark, monkeypatch):
     import zlib
 
