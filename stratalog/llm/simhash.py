@@ -1,17 +1,22 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two 64-bit fingerprints within three differing bits: cut the word in thirds;
-some third holds one of the differing bits (or none differ), so after dropping
-that third at most two bits differ. Half of that radius is one. Every
-fingerprint therefore emits, for each third dropped, the kept bits and all
-variants with one kept bit flipped (131 keys in all); the balls of both
-partners meet at a shared key. Keys are shuffled, the fingerprints at one key
+Two 64-bit fingerprints within R differing bits: cut the word in p parts; of
+2p - 2 differing bits some two parts hold at most two, for if the two that
+hold the fewest held three, the others would hold two each at least, 2p - 1 in
+all. Half of that radius is one. Every fingerprint therefore emits, for each
+pair of parts, their bits and all variants with one of these flipped; the
+balls of both partners meet at a shared key. R = 3 takes thirds (131 keys in
+all), R = 6 quarters (198 keys). Keys are shuffled, the fingerprints at one key
 are compared and only links that span the groups found are kept.
+
+Where a similarity is asked for, links are verified on the texts' sets of
+shingles; so that the likeliest links are the ones looked at, each key gives a
+spanning forest of least distances.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import bytes_of, components, materialize, spanning, unused
+from stratalog.llm.common import bytes_of, components, discard, materialize, spanning, unused
 
-RADIUS = 3
 #: Fingerprints at one key beyond which they are compared in blocks, each its own task.
-GROUP = 4096
-#: Fingerprints that one task sends to the keys of their balls (about 100 MB).
-SENT = 65_536
-_THIRDS = [(0, 22), (22, 43), (43, 64)]
+GROUP = 2048
+#: Fingerprints that one task sends to the keys of their balls (about 12 MB).
+SENT = 8192
 
 
 def _signed(x: int) -> int:
@@ -42,9 +45,9 @@ def shingle_hashes(text: bytes, width: int = 3) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, max(1, len(w) - width + 1))
 
 
-def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """A uint64 fingerprint for each text: bits set in over half its hashes."""
-    out = np.zeros(len(texts), np.uint64)
+def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
+    """A uint64 fingerprint for each list of hashes: bits set in over half of them."""
+    out = np.zeros(len(hashes), np.uint64)
     part, sizes, at = [], [], []
 
     def close():
@@ -57,8 +60,7 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
                 x.clear()
 
     held = 0
-    for i, t in enumerate(texts):
-        h = shingle_hashes(t, width)
+    for i, h in enumerate(hashes):
         if len(h):
             part.append(h), sizes.append(len(h)), at.append(i)
             held += len(h)
@@ -69,145 +71,262 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(bytes_of(b.column(1))).view(np.int64)), b.column(2)], names=["id", "fp", "row"])
-
-
-def _near(x: np.ndarray) -> np.ndarray:
-    """Whether the differing bits x (int64) are within the radius; as unsigned,
-    for numpy counts the bits of a signed number's absolute value."""
-    return np.bitwise_count(x.view(np.uint64)) <= RADIUS
-
-
-def _linked(f: np.ndarray, g: np.ndarray | None = None):
-    """Spanning links among distinct f (or between f and g) within the radius."""
+def _print_rows(width: int, sets: bool):
+    """(id, fp, row), with ``sets`` of the distinct shingles and with their hash as node."""
+
+    def run(batches):
+        for whole in batches:
+            for s in range(0, whole.num_rows, 200):
+                b = whole.slice(s, 200)
+                hashes = [shingle_hashes(t, width) for t in bytes_of(b.column(1))]
+                if sets:
+                    hashes = [np.unique(h) for h in hashes]
+                cols = [b.column(0), pa.array(fingerprints(hashes).view(np.int64)), b.column(2)]
+                if sets:
+                    cols.append(pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in hashes], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "row", "node"][: len(cols)])
+
+    return run
+
+
+def _differing(x: np.ndarray) -> np.ndarray:
+    """The number of bits set in x (int64); as unsigned, for numpy counts the
+    bits of a signed number's absolute value."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, top: int) -> np.ndarray:
+    """Indexes of the pairs i-j that make a spanning forest of least distances d over 0..n-1."""
+    label, out = np.arange(n), []
+    for level in range(top + 1):
+        at = np.flatnonzero(d == level)
+        while len(at := at[label[i[at]] != label[j[at]]]):
+            first = np.full(n, len(d))
+            np.minimum.at(first, label[i[at]], at)
+            np.minimum.at(first, label[j[at]], at)
+            pick = np.unique(first[first < len(d)])
+            label, before = spanning(n, label[i[pick]], label[j[pick]])[label], label
+            # pairs of one distance may close a ring: keep those that join
+            out.append(_joining(n, before[i[pick]], before[j[pick]], pick))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _joining(n, a, b, pick):
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    keep = []
+    for x, y, p in zip(a.tolist(), b.tolist(), pick.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(p)
+    return np.array(keep, np.int64)
+
+
+def _linked(f: np.ndarray, g: np.ndarray | None, radius: int):
+    """Spanning links of least distances among distinct f (or between f and g) within the radius."""
     same = g is None
     g = f if same else g
     nodes = np.unique(np.concatenate([f, g]))
-    a, b = [], []
+    a, b, d = [], [], []
     for i in range(0, len(f), 512):
-        x, y = np.nonzero(_near(f[i : i + 512, None] ^ g[None, :]))
-        a.append(f[i : i + 512][x]), b.append(g[y])
-    low = nodes[spanning(len(nodes), np.searchsorted(nodes, np.concatenate(a)), np.searchsorted(nodes, np.concatenate(b)))]
-    out = low != nodes
-    return nodes[out], low[out]
+        far = _differing(f[i : i + 512, None] ^ g[None, :])
+        x, y = np.nonzero(far <= radius)
+        if same:
+            x, y = x[x + i < y], y[x + i < y]
+        a.append(x.astype(np.int32) + i), b.append(y.astype(np.int32)), d.append(far[x, y])
+    a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+    x, y = f[a], g[b]
+    keep = forest(len(nodes), np.searchsorted(nodes, x), np.searchsorted(nodes, y), d, radius)
+    return np.maximum(x[keep], y[keep]), np.minimum(x[keep], y[keep])
 
 
 def _rows(a, b, hot: bool):
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
 
 
-def _meet(batches):
+def _meet(radius: int):
     """Over rows sorted by key: links of the fingerprints at each key. Those at
     a crowded key pass through, marked hot."""
-    empty = np.empty(0, np.int64)
-    k, f, crowded = empty, empty, None
-
-    def close(k, f, crowded):
-        if crowded is not None and (mine := k == crowded).any():
-            yield _rows(k[mine], f[mine], True)
-            k, f = k[~mine], f[~mine]
-        if len(k) < 2:
-            return
-        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[start, len(k)])
-        s = start[size == 2]
-        x, y = f[s], f[s + 1]
-        near = _near(x ^ y)
-        a, b = [np.maximum(x, y)[near]], [np.minimum(x, y)[near]]
-        for s, n in zip(start[size > 2], size[size > 2]):
-            if n > GROUP:
-                yield _rows(k[s : s + n], f[s : s + n], True)
-            else:
-                x, y = _linked(f[s : s + n])
-                a.append(x), b.append(y)
-        ab = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        yield _rows(ab[0], ab[1], False)
-
-    for batch in batches:
-        k = np.concatenate([k, batch.column(0).to_numpy()])
-        f = np.concatenate([f, batch.column(1).to_numpy()])
-        if not len(k):
-            continue
-        last = np.searchsorted(k, k[-1])
-        yield from close(k[:last], f[:last], crowded)
-        k, f = k[last:], f[last:]
-        if k[0] == crowded or len(k) > GROUP:
-            yield _rows(k, f, True)
-            crowded, k, f = k[0], empty, empty
-    yield from close(k, f, crowded)
-
-
-def _block(pdf):
-    import pandas as pd
-
-    f, g = (np.unique(pdf.fp[pdf.side == s].to_numpy()) for s in (0, 1))
-    a, b = _linked(f, g if len(g) else None) if len(f) else (f, f)
-    return pd.DataFrame({"a": a, "b": b})
-
-
-def near_links(prints: DataFrame) -> DataFrame:
+
+    def run(batches):
+        empty = np.empty(0, np.int64)
+        k, f, crowded = empty, empty, None
+
+        def close(k, f, crowded):
+            if crowded is not None and (mine := k == crowded).any():
+                yield _rows(k[mine], f[mine], True)
+                k, f = k[~mine], f[~mine]
+            if len(k) < 2:
+                return
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            size = np.diff(np.r_[start, len(k)])
+            s = start[size == 2]
+            x, y = f[s], f[s + 1]
+            near = _differing(x ^ y) <= radius
+            a, b = [np.maximum(x, y)[near]], [np.minimum(x, y)[near]]
+            for s, n in zip(start[size > 2], size[size > 2]):
+                if n > GROUP:
+                    yield _rows(k[s : s + n], f[s : s + n], True)
+                else:
+                    x, y = _linked(f[s : s + n], None, radius)
+                    a.append(x), b.append(y)
+            ab = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            yield _rows(ab[0], ab[1], False)
+
+        for batch in batches:
+            k = np.concatenate([k, batch.column(0).to_numpy()])
+            f = np.concatenate([f, batch.column(1).to_numpy()])
+            if not len(k):
+                continue
+            last = np.searchsorted(k, k[-1])
+            yield from close(k[:last], f[:last], crowded)
+            k, f = k[last:], f[last:]
+            if k[0] == crowded or len(k) > GROUP:
+                yield _rows(k, f, True)
+                crowded, k, f = k[0], empty, empty
+        yield from close(k, f, crowded)
+
+    return run
+
+
+def _block(radius: int):
+    def run(pdf):
+        import pandas as pd
+
+        f, g = (np.unique(pdf.fp[pdf.side == s].to_numpy()) for s in (0, 1))
+        a, b = _linked(f, g if len(g) else None, radius) if len(f) else (f, f)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def ball_keys(radius: int) -> list[tuple[int, list[int]]]:
+    """For each pair of parts: the mask of their bits, and these bits."""
+    parts = -(-(radius + 2) // 2)
+    cuts = [round(64 * i / parts) for i in range(parts + 1)]
+    ranges = [range(a, b) for a, b in zip(cuts, cuts[1:])]
+    kept = [[*x, *y] for x, y in combinations(ranges, 2)]
+    return [(sum(1 << i for i in bits), bits) for bits in kept]
+
+
+def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that span every group
-    of fingerprints connected by at most three differing bits. prints is read
+    of fingerprints connected by at most ``radius`` differing bits. prints is read
     twice, to count and to send it: best a written table."""
     keys = []
-    for t, (low, high) in enumerate(_THIRDS):
-        mask = ((1 << 64) - 1) ^ (((1 << high) - 1) ^ ((1 << low) - 1))
-        kept = F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).bitwiseXOR(F.lit(_signed(t << low)).cast("long"))
-        keys += [kept] + [kept.bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in range(64) if not low <= i < high]
-    # a row becomes 131: tasks are cut by rows, not by the bytes read
+    for t, (mask, bits) in enumerate(ball_keys(radius)):
+        # the number of the pair stands where the mask has no bits
+        room = [i for i in range(64) if not mask >> i & 1]
+        tag = sum(1 << room[n] for n in range(8) if t >> n & 1)
+        kept = F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).bitwiseXOR(F.lit(_signed(tag)).cast("long"))
+        keys += [kept] + [kept.bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in bits]
+    # a row becomes well over a hundred: tasks are cut by rows, not by the bytes read
     dealt = prints.repartition(max(1, -(-prints.count() // SENT)), "fp")
-    met = materialize(dealt.select(F.explode(F.array(*keys)).alias("k"), "fp").repartition("k").sortWithinPartitions("k").mapInArrow(_meet, "a long, b long, hot boolean"), "met")
+    met = materialize(dealt.select(F.explode(F.array(*keys)).alias("k"), "fp").repartition("k").sortWithinPartitions("k").mapInArrow(_meet(radius), "a long, b long, hot boolean"), "met")
     links = met.filter("not hot").select("a", "b").distinct()
     hot = met.filter("hot").select(F.col("a").alias("k"), F.col("b").alias("fp"))
     if not hot.isEmpty():
         size = hot.groupBy("k").agg(F.ceil(F.count("*") / F.lit(GROUP // 2)).cast("int").alias("s"))
         cut = hot.join(size, "k").withColumn("i", F.pmod(F.xxhash64("fp"), "s").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         pairs = cut.select("k", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"), "fp")
-        links = links.union(pairs.groupBy("k", "p", "q").applyInPandas(_block, "a long, b long")).distinct()
+        links = links.union(pairs.groupBy("k", "p", "q").applyInPandas(_block(radius), "a long, b long")).distinct()
     return links
 
 
-def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, row): row names a row by its id and text."""
-    i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    rows = docs.select(i.alias("id"), t.alias("text"), _row(id_col, text_col).alias("row"))
-    return materialize(rows.mapInArrow(_fingerprint_rows, "id long, fp long, row long"), "prints")
-
-
 def _row(id_col: str, text_col: str):
     i = F.col(f"`{id_col}`").cast("long")
     return F.xxhash64(i.isNull(), i, F.col(f"`{text_col}`"))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, row): row names a row by its id and text."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), _row(id_col, text_col).alias("row"))
+
+
+def _rep():
+    return F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "row")).alias("rep")
+
+
 def _named(prints: DataFrame) -> DataFrame:
     """(fp, rep, g) of each distinct fingerprint: its row of smallest id as
     (without id, id, row), and what names its group."""
-    reps = materialize(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "row")).alias("rep")), "reps")
+    reps = materialize(prints.groupBy("fp").agg(_rep()), "reps")
     group = components(near_links(reps.select("fp")))
     return materialize(reps.join(group, reps.fp == group.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("g")), "named")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, component) for every row of docs.
+    """(id, fp long, component) for every row of docs: three-word shingles,
+    links at three or fewer differing bits.
 
     Null and empty texts and texts of white space have fingerprint zero and
     link like any other; repeated rows stay, each with its component. A row
     with a null id takes its group's component (null if no member has an id).
     Other columns are ignored whatever their names; no rows give no rows.
     """
-    prints = _prints(docs, id_col, text_col)
+    prints = materialize(_texts(docs, id_col, text_col).mapInArrow(_print_rows(3, False), "id long, fp long, row long"), "prints")
     named = _named(prints)
     smallest = named.groupBy("g").agg(F.min("rep")["id"].alias("component"))
     return prints.join(named.join(smallest, "g").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _set_rows(width: int):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in bytes_of(b.column(1))], pa.binary())], names=["node", "s"])
+
+    return run
+
+
+def _verify(similarity: float):
+    def run(batches):
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one of smallest id,
     rows without id last; of rows that share an id but not the text, the one of
-    smallest hash, while each of their groups keeps a row of its own."""
+    smallest hash, while each of their groups keeps a row of its own.
+
+    Texts link where their fingerprints, of the distinct shingles of ``width``
+    words, differ in at most ``radius`` bits and these sets have a Jaccard
+    similarity of at least ``similarity``; of the links that join a group at a
+    key those of least distance are verified. Texts with one set are copies,
+    those without words too.
+    """
     row, kept = unused(docs, "_row"), unused(docs, "_kept")
-    best = _named(_prints(docs, id_col, text_col)).groupBy("g").agg(F.min("rep")["row"].alias(kept)).select(kept).distinct()
+    texts = _texts(docs, id_col, text_col)
+    prints = materialize(texts.mapInArrow(_print_rows(width, True), "id long, fp long, row long, node long"), "prints")
+    nodes = materialize(prints.groupBy("node").agg(_rep(), F.first("fp").alias("fp")), "nodes")
+    discard(prints)
+    by_print = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    links = near_links(by_print.select("fp"), radius)
+    a, b = (by_print.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab")
+    twins = nodes.join(by_print.withColumnRenamed("node", "first"), "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    pairs = materialize(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).union(twins), "pairs")
+    linked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("rep.row").alias("row"))
+    sets = materialize(texts.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_set_rows(width), "node long, s binary").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    group = components(both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long"))
+    named = nodes.select("node", "rep").join(group, "node", "left").select("rep", F.coalesce("component", "node").alias("g"))
+    best = materialize(named.groupBy("g").agg(F.min("rep")["row"].alias(kept)).select(kept).distinct(), "kept")
+    for t in (by_print, pairs, sets):
+        discard(t)
     rows = docs.withColumn(row, _row(id_col, text_col)).join(best, F.col(row) == F.col(kept), "left_semi")
     return rows.dropDuplicates([id_col, row]).select(*(f"`{c}`" for c in docs.columns))

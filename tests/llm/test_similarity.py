@@ -50,10 +50,6 @@ def test_simhash_by_brute_force(spark, docs):
     got = sorted(((r.id, r.fp % (1 << 64), r.component) for r in simhash.simhash_groups(df).collect()), key=str)
     assert got == want
     assert simhash.simhash_groups(df.limit(0)).count() == 0
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({s for s in smallest.values() if s is not None})
-    assert kept.count() == len(smallest)
 
 
 def test_keep_one_names_rows_by_id_and_text(spark):
@@ -64,22 +60,40 @@ def test_keep_one_names_rows_by_id_and_text(spark):
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(3, "one two three four", 0, 1), (5, "another text altogether", 0, 1), (None, "lone words", 0, 1)], key=str)
 
 
-@pytest.mark.parametrize("group", [4096, 8])
-def test_balls_meet_within_three_bits(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, radius", [(2048, 3), (8, 3), (2048, 6), (8, 6)])
+def test_balls_meet_within_the_radius(spark, monkeypatch, group, radius):
     monkeypatch.setattr(simhash, "GROUP", group)  # 8: crowded keys are compared in blocks
     rnd = np.random.default_rng(1)
     fps = set()
     for centre in rnd.integers(0, 1 << 63, 6).tolist():
         for _ in range(40):
-            fps.add(centre ^ sum(1 << int(b) for b in rnd.choice(64, rnd.integers(0, 5), replace=False)))
+            fps.add(centre ^ sum(1 << int(b) for b in rnd.choice(64, rnd.integers(0, radius + 2), replace=False)))
     fps = sorted(x - (1 << 64) if x >= 1 << 63 else x for x in (f % (1 << 64) for f in fps))
-    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius)
     at = {f: i for i, f in enumerate(fps)}
     got = _roots(len(fps), [(at[r.a], at[r.b]) for r in links.collect()])
-    want = _roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) % (1 << 64)).bit_count() <= 3])
+    want = _roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) % (1 << 64)).bit_count() <= radius])
     assert got == want
 
 
+def test_forests_of_least_distances():
+    rnd = np.random.default_rng(2)
+    for _ in range(50):
+        n = 12
+        i, j = np.triu_indices(n, 1)
+        some = rnd.random(len(i)) < 0.3
+        i, j = i[some], j[some]
+        d = rnd.integers(0, 5, len(i)).astype(np.uint8)
+        got = simhash.forest(n, i, j, d, 4)
+        root, weight = list(range(n)), 0
+        for e in np.argsort(d, kind="stable"):
+            a, b = root[i[e]], root[j[e]]
+            if a != b:
+                root, weight = [a if r == b else r for r in root], weight + int(d[e])
+        assert int(d[got].sum()) == weight and len(got) == n - len(set(root))
+        assert _roots(n, list(zip(i[got].tolist(), j[got].tolist()))) == _roots(n, list(zip(i.tolist(), j.tolist())))
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rnd = np.random.default_rng(3)
