@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalog.llm import near_copies, packing, pii, toxicity
+from stratalog.llm import packing, pii, simhash, toxicity
 from stratalog.llm.common import materialize, read
 from stratalog.llm.queries import CATEGORIES, low_quality_and_toxic, tokenizer_path
 
@@ -14,8 +14,9 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies stays: SimHash of five-word
+    shingles, at most six differing bits, similarity 0.8 verified."""
+    return simhash.keep_one(docs, width=5, radius=6, similarity=0.8)
 
 
 def replace_personal_data(spark, docs, sf_dir):
