@@ -21,8 +21,7 @@ def op1_sentencepiece(spark, sf_dir):
 
 
 def op2_topk(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings")
-    return topk.top_k(v, v.filter("vec_id % 20 = 0"), k=20, scale=64.0)
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
 def op3_simhash(spark, sf_dir):
@@ -84,5 +83,21 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_simhash, op4_embedding, op5_toxicity, op6_secrets, op7_html, op8_pii, op9_brown, op10_packing)}
 
 
+#: Vectors that take part: no null or non-finite component.
+_ABLE = "embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+ORACLES = {
+    "op2_topk": f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x) for x in CAST(embedding AS DOUBLE[])] AS x FROM embeddings WHERE {_ABLE}),
+ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+ n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+ SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20""",
+    "op4_embedding": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE {_ABLE} AND len(embedding) > 0 AND len([x for x in embedding IF x <> 0]) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+ n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.c, e.vec_id) AS component_id, coalesce(m.c = e.vec_id, true) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id""",
+}
+
+
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stratalog.llm import embed_dedup, packing, queries, simhash, topk
 from stratalog.llm.common import components
@@ -173,29 +174,46 @@ def test_top_k_by_brute_force(spark, vectors, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 4)
     monkeypatch.setattr(topk, "CANDIDATES", 16)
     df, rows = vectors
-    ints = {}
-    for k, v in rows:
-        if v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints[k] = np.floor(64 * np.array(v)).astype(int)
-    got = {}
-    for r in topk.top_k(df, df.filter("vec_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    want = {}
-    for q in ints:
+    ints = [(k, np.floor(64 * np.array(v)).astype(int)) for k, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for n, (q, x) in enumerate(ints):
         if q % 20 == 0:
-            s = sorted((-int(ints[q] @ ints[c]), c) for c in ints if c != q and len(ints[c]) == len(ints[q]))[:5]
-            if s:
-                want[q] = [(c, -x) for x, c in s]
-    assert got == want
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+            s = sorted((-int(x @ y), c) for m, (c, y) in enumerate(ints) if m != n and len(y) == len(x))[:5]
+            want += [(q, i + 1, c, -v) for i, (v, c) in enumerate(s)]
+    got = [tuple(r) for r in topk.top_k(df, "vec_id % 20 = 0", k=5).collect()]
+    assert sorted(got) == sorted(want)
+    assert topk.top_k(df.limit(0), "vec_id % 20 = 0").count() == 0
 
 
 def test_top_k_with_many_ties(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "vec_id long, embedding array<float>")
-    got = topk.top_k(df, df.filter("vec_id = 20"), k=7).orderBy("rank").collect()
+    got = topk.top_k(df, F.col("vec_id") == 20, k=7).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4, 5, 6]
 
 
+def test_top_k_takes_rows_that_repeat_an_id_and_huge_components(spark):
+    rows = [(5, [1.0]), (5, [2.0]), (20, [1.0]), (20, [3.0]), (7, [1e18]), (8, [-1e18]), (9, [1e308]), (10, [4e9])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, row int")
+    got = sorted(tuple(r) for r in topk.top_k(df, "vec_id = 20", k=6).collect())
+    top = topk.LIMIT
+    one = [(7, min(64 * 64 * 10**18, top)), (10, 64 * 64 * 4 * 10**9), (20, 64 * 192), (5, 64 * 128), (5, 64 * 64), (8, -min(64 * 64 * 10**18, top))]
+    two = [(7, top), (10, 192 * 64 * 4 * 10**9), (5, 192 * 128), (5, 192 * 64), (20, 192 * 64), (8, -top)]
+    assert got == sorted((20, n + 1, c, s) for part in (one, two) for n, (c, s) in enumerate(part))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{sf_dir}/embeddings.parquet')")
+    df = queries.queries()[name](spark, sf_dir)
+    found = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in found.description]
+    assert names == df.columns
+    assert sorted(tuple(r) for r in df.collect()) == sorted(found.fetchall())
+
+
 def test_local_search_never_adds_bins():
     rnd = np.random.default_rng(5)
     for _ in range(20):
