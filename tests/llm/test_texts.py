@@ -129,9 +129,12 @@ def test_copies_are_not_neighbours(spark):
     got = sorted((r.page_id, r.text) for r in html.extract(df.coalesce(1)).collect())
     whole = "Shared line\nsix\nBottom"
     assert got == [(1, "one"), (1, "one"), (2, "one"), (3, ""), (4, "two"), (5, "two"), (6, whole), (7, whole), (7, whole)]
+    assert sorted((r.page_id, r.text) for r in html.extract(df.repartition(5)).collect()) == got
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+@pytest.mark.parametrize("table", [1 << 26, 4])
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch, table):
+    monkeypatch.setattr(html, "TABLE", table)
     rnd = random.Random(4)
     for _ in range(60):
         a, b = ([rnd.choice("abc") for _ in range(rnd.randrange(8))] for _ in range(2))
@@ -140,6 +143,62 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(got) == best and _subsequence(got, b)
 
 
+def test_differencing_does_not_depend_on_partitions(spark, monkeypatch):
+    """Pages without article: runs of copies, hosts of one page, ranges that end anywhere."""
+    rnd = random.Random(5)
+    rows = []
+    for h in range(5):
+        at = 0
+        for block in range(rnd.randrange(2, 9) if h else 1):
+            for _ in range(rnd.choice([1, 1, 1, 4])):  # copies
+                rows.append((len(rows), f"http://h{h}.org/{'ab'[block % 2]}/{at:03}", f"<p>Top of h{h}<p>text {h} {block}<p>only {block // 2}<p>Bottom"))
+                at += 1
+    def lcs(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                t[i + 1][j + 1] = t[i][j] + 1 if a == b else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    def near(i, order):
+        """The nearest of both neighbours with another text, by the path shared."""
+        host = rows[order[i]][1].split("/")[2]
+        found = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(order) and rows[order[j]][1].split("/")[2] == host and rows[order[j]][2] == rows[order[i]][2]:
+                j += step
+            if 0 <= j < len(order) and rows[order[j]][1].split("/")[2] == host:
+                found.append(order[j])
+        return max(found, key=lambda j: rows[j][1].split("/")[3] == rows[order[i]][1].split("/")[3], default=None)
+
+    order = sorted(range(len(rows)), key=lambda i: rows[i][1])
+    want = {}
+    for i, k in enumerate(order):
+        own, other = [t for t, _ in html.lines(rows[k][2])], near(i, order)
+        gone = html.shared(own, [t for t, _ in html.lines(rows[other][2])]) if other is not None else set()
+        assert other is None or len(gone) == lcs(own, [t for t, _ in html.lines(rows[other][2])])
+        want[k] = "\n".join(t for n, t in enumerate(own) if n not in gone)
+    assert any("Top" not in t for t in want.values()) and any("Top" in t for t in want.values())
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts, size in ((1, 200_000), (6, 7), (12, 3)):
+        monkeypatch.setattr(html, "RANGE", size)
+        assert {r.page_id: r.text for r in html.extract(df.repartition(parts)).collect()} == want
+
+
+def test_hard_markup_takes_linear_time():
+    import time
+
+    pages = ["<a " * 300_000, "<head>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<span>" * 50_000 + "<p>" * 50_000, '<a "<b" ' * 100_000, "<a '>x" * 100_000, "<nav>" * 50_000 + "<article>" * 50_000, "<!--" * 100_000, "&" * 500_000]
+    for p in pages:
+        began = time.time()
+        html.lines(p)
+        assert time.time() - began < 5, p[:20]
+    began = time.time()
+    assert len(html.shared(["x"] * 50_000, ["y", *["x"] * 50_000, "z"])) == 50_000
+    assert time.time() - began < 10
+
+
 def _subsequence(x, y):
     it = iter(y)
     return all(c in it for c in x)
