@@ -64,8 +64,7 @@ def op8_pii(spark, sf_dir):
 def op9_brown(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    counts, frequent, model = brown.fit(docs.filter(~held_out))
-    scored = brown.score(docs, counts, frequent, model, held_out=held_out)
+    scored, model, _ = brown.fit_and_score(docs, held_out)
     return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

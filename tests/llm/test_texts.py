@@ -334,44 +334,60 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.score(df.limit(0), one).count() == 0
 
 
-def test_brown_base_scores_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(brown, "FREQUENT", 20)  # most words take the join
+def test_brown_scores_by_brute_force(spark):
     rnd = random.Random(6)
     words = [f"w{i}" for i in range(80)]
-    texts = [" ".join(rnd.choices(words, [1 / (i + 1) for i in range(80)], k=rnd.randrange(25))) for _ in range(120)] + [None, "", "new ones", "W1 w1\tW1", "w1 w1\tw1"]
-    df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    texts = [" ".join(rnd.choices(words, [1 / (i + 1) for i in range(80)], k=rnd.randrange(25))) for _ in range(120)] + [None, "", "new ones", "W1 w1\tW1", "w1 w1\tw1", "été " * 300]
+    df = spark.createDataFrame([(i, t, 0.5, 1) for i, t in enumerate(texts)], "doc_id long, text string, score double, ids int")
     held = F.col("doc_id") % 10 == 0
-    counts, frequent, model = brown.fit(df.filter(~held))
-    got = {r.id: r for r in brown.score(df, counts, frequent, model, held_out=held).collect()}
+    # most words take the join
+    scored, model, v = brown.fit_and_score(df, held, items=10, suffixes=6, classes=5, seen=20, frequent=20)
+    got = {r.id: r for r in scored.collect()}
     toks = [(t or "").encode().lower().split() + [b""] for t in texts]
     c = Counter(w for i, t in enumerate(toks) if i % 10 for w in t)
-    n, v = sum(c.values()), len(c)
-    assert (model.total, model.distinct) == (n, v) and len(got) == len(texts)
-    cls = {w: model.cls[brown.Items(model.item)[w]] for w in {w for t in toks for w in t}}
+    n, distinct = sum(c.values()), len(c)
+    assert (model.total, model.distinct) == (n, distinct) and len(got) == len(texts) and len(v.words) <= 20
+    cls = {w: model.cls[v.words.index(w) if w in v.words else v.group(w)] for w in {w for t in toks for w in t}}
+    for k in range(5):
+        assert model.size[k] == sum(m for w, m in c.items() if cls[w] == k) and model.kinds[k] == sum(cls[w] == k for w in c)
     for i, t in enumerate(toks):
-        assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+        assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (distinct + 1))) for w in t))
         assert (got[i].n_tokens, got[i].n_known, got[i].held_out) == (len(t), sum(c[w] > 0 for w in t), i % 10 == 0)
         full = sum(model.step[cls[a], cls[b]] + math.log10((c[b] + 0.1) / (model.size[cls[b]] + 0.1 * (model.kinds[cls[b]] + 1))) for a, b in zip([b"", *t], t))
         assert got[i].score == pytest.approx(full)
     assert got[123].score == got[124].score
     assert (10**model.step).sum(axis=1) == pytest.approx(1)
-    empty = brown.fit(df.limit(0))
-    assert brown.score(df, *empty).count() == len(texts)
+    g = Counter((cls[a], cls[b]) for i, t in enumerate(toks) if i % 10 for a, b in zip([b"", *t], t))
+    for a in range(5):
+        for b in range(5):
+            assert 10 ** model.step[a, b] == pytest.approx((g[a, b] + 0.5) / (sum(g[a, x] for x in range(5)) + 2.5))
+    assert brown.fit_and_score(df, F.lit(True))[0].count() == len(texts)
+    assert brown.fit_and_score(df.limit(0), held)[0].count() == 0
+
+
+def test_endings_back_off():
+    v = brown.Vocabulary(0, 0, [b""], None, {"": 1, "ing": 2, "ng": 3, "é": 4})
+    assert [v.group(w.encode()) for w in ("singing", "wrong", "café", "x", "é")] == [2, 3, 4, 1, 4]
 
 
 def test_every_seen_word_is_clustered(spark):
-    """Words beyond the first items get the class of their contexts, whatever their suffix."""
+    """Words beyond the first items get the class of their contexts, whatever their ending."""
     rnd = random.Random(7)
-    kinds = [[f"{k}{i}xyz" for i in range(600)] for k in "ab"]  # one suffix; kinds alternate
+    kinds = [[f"{k}{i}xyz" for i in range(600)] for k in "ab"]  # one ending; kinds alternate
     weight = [4] * 500 + [3] * 100
     texts = [" ".join(rnd.choices(kinds[j % 2], weight)[0] for j in range(200)) for _ in range(1000)] + ["rare"]
-    counts, frequent, model = brown.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    later = {w: int(model.cls[i]) for w, i in model.item.items() if i >= brown.N_ITEMS}
-    first = {w: int(model.cls[i]) for w, i in model.item.items() if i < brown.ITEMS}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, model, v = brown.fit_and_score(df, F.lit(False))
     c = Counter(w.encode() for t in texts for w in t.split())
-    assert {*later, *first} == {w for w, n in c.items() if n >= brown.SEEN or w in first} and len(later) > 100
-    of = {k: Counter(w[:1] for w, x in first.items() if x == k).most_common(1)[0][0] for k in set(first.values())}
-    assert sum(of.get(k) == w[:1] for w, k in later.items()) >= 0.95 * len(later)
+    assert v.words[0] == b"" and set(v.words[1:]) == set(c)
+    first, later = v.words[1 : brown.ITEMS + 1], [w for w in v.words[brown.ITEMS + 1 :] if c[w] >= brown.SEEN]
+    assert len(later) > 100
+    at = v.number()
+    of = {}
+    for w in first:
+        of.setdefault(int(model.cls[at[w]]), Counter())[w[:1]] += 1
+    of = {k: x.most_common(1)[0][0] for k, x in of.items()}
+    assert sum(of.get(int(model.cls[at[w]])) == w[:1] for w in later) >= 0.95 * len(later)
     assert model.size.sum() == model.total
 
 
