@@ -50,7 +50,8 @@ def op5_toxicity(spark, sf_dir):
 
 
 def op6_secrets(spark, sf_dir):
-    return secrets.scan(read(spark, sf_dir, "documents")).drop("found")
+    out = secrets.scan(read(spark, sf_dir, "documents"), vocabulary=tokenizer_path())
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", F.array_max(F.transform("values", lambda v: v.cost)).alias("highest_cost"))
 
 
 def op7_html(spark, sf_dir):

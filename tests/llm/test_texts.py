@@ -71,10 +71,40 @@ def test_guess_costs():
     assert secrets.guess_cost("") == 0
     for s in ("passwordqwerty", "zz9zz", "pw!"):  # never dearer than brute force
         assert secrets.guess_cost(s) <= len(s) * secrets._brute(s) + 1e-9
+        cost, parts = secrets.guesser().segments(s)
+        assert [p[1] for p in parts] == [0, *(p[2] for p in parts[:-1])] and parts[-1][2] == len(s) and sum(p[3] for p in parts) == pytest.approx(cost)
+    for t in ("pass: wonderful", "auth: required", "credentials: documentation", "passphrase = elephants", "pwd = hunter2", "auth: os.environ['X']", "password: ${DB_PASSWORD}"):
+        assert secrets.spans(t) == [], t
     found = secrets.spans("db: postgres://bob:kX9$vQ2!mZ7p@host and pwd = hunter, pwd: 'kX9$vQ2!mZ7p'")
     assert [k for k, *_ in found] == ["guess", "guess"]
 
 
+def test_guess_precision_and_recall_on_planted_values(spark):
+    """Words of any list, digits and years after them, words of the corpus alone; against drawn secrets."""
+    rnd = random.Random(11)
+    own = ["".join(rnd.choices("bcdfghklmn", k=1)[0] + rnd.choices("aeiou", k=1)[0] for _ in range(5)) for _ in range(200)]
+    listed = [w for w in secrets.vocabulary_words(queries.tokenizer_path()) if 6 <= len(w) <= 12]
+    texts, planted = [], []
+    for i in range(1200):
+        keyword = rnd.choice(["pwd", "pass", "auth", "credentials", "passphrase", "client_secret"])
+        if i % 3 == 0:
+            value = "".join(rnd.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%*", k=rnd.randrange(9, 20)))
+        else:
+            value = rnd.choice(listed if i % 3 == 1 else own) + rnd.choice(["", "", "1", "2019", "!"])
+        planted.append(i % 3 == 0)
+        texts.append(" ".join(rnd.choices(own, k=30)) + f" {keyword}: {value} " + " ".join(rnd.choices(own, k=5)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.scan(df).collect()}
+    hits = [i for i in range(len(texts)) if found[i].n_guess]
+    assert all(len(found[i]["values"]) >= 1 for i in found)
+    assert sum(planted[i] for i in hits) >= 0.95 * len(hits)
+    assert sum(bool(found[i].n_guess or found[i].n_assign) for i in range(len(texts)) if planted[i]) >= 0.99 * sum(planted)
+    none = {r.doc_id: r.n_guess for r in secrets.scan(df, n_words=0).collect()}
+    assert sum(n > 0 and not planted[i] for i, n in none.items()) > 100  # the corpus's own words are needed
+    odd = spark.createDataFrame([(1, None, "x"), (1, None, "y"), (None, "token: " + "ab1" * 100_000, "z")], "doc_id long, text string, found string")
+    assert sorted((r.n_assign, len(r["values"])) for r in secrets.scan(odd).collect()) == [(0, 0), (0, 0), (1, 1)]
+
+
 def test_guessed_spans_reach_beyond_base_spans():
     t = "password=Tr0ub4dor9$3xK! and secret: abcdefgh1$Qz7#mW2!p or token = kX9vQ2mZ7pL4"
     found = {(k, t[s:e]) for k, s, e in secrets.spans(t)}
