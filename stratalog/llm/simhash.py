@@ -277,23 +277,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _set_rows(width: int):
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in bytes_of(b.column(1))], pa.binary())], names=["node", "s"])
-
-    return run
+    """(node, s): the distinct shingles of a text, as array<long>."""
 
-
-def _verify(similarity: float):
     def run(batches):
-        for b in batches:
-            near = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            keep = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in bytes_of(b.column(1))]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "s"])
 
     return run
 
@@ -321,9 +313,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     pairs = materialize(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).union(twins), "pairs")
     linked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("rep.row").alias("row"))
-    sets = materialize(texts.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_set_rows(width), "node long, s binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_set_rows(width), "node long, s array<long>").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    group = components(both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long"))
+    shared, all_ = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    group = components(both.filter(shared >= F.lit(similarity) * (all_ - shared) - 1e-9).select("a", "b"))
     named = nodes.select("node", "rep").join(group, "node", "left").select("rep", F.coalesce("component", "node").alias("g"))
     best = materialize(named.groupBy("g").agg(F.min("rep")["row"].alias(kept)).select(kept).distinct(), "kept")
     for t in (by_print, pairs, sets):

@@ -188,18 +188,21 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """docs with a probability column ``p_<category>`` for each category.
 
     Null and empty texts get the chain's intercepts; columns of docs with the
-    added names are replaced; no row is dropped and none reordered.
+    added names, in either case of their letters, are replaced; no row is
+    dropped and none reordered.
     """
     added = [f"p_{c}" for c in chain.categories]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
     schema = docs.select(*(f"`{c}`" for c in kept)).schema
     for c in added:
         schema = schema.add(c, "double")
     at = kept.index(text_col)
 
     def run(batches):
-        for b in batches:
-            p = chain.predict(bytes_of(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in p.T)], names=[*kept, *added])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 500):
+                b = whole.slice(s, 500)
+                p = chain.predict(bytes_of(b.column(at)))
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in p.T)], names=[*kept, *added])
 
     return docs.select(*(f"`{c}`" for c in kept)).mapInArrow(run, schema)
