@@ -27,13 +27,20 @@ _CACHE = 200_000
 
 class Model:
     """Pieces and scores of a SentencePiece model file with byte fallback,
-    identity normalisation and a space before the first word."""
+    identity normalisation and a space before the first word; other files are
+    refused."""
+
+    #: What other normalisations would change: widths, ligatures, composed and
+    #: repeated characters, cases, white space at the ends and within.
+    PROBE = " \ufb01 \uff21\u2460  A e\u0301\u00e9 \u3000x\t "
 
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.normalize(self.PROBE) != SPACE + self.PROBE.replace(" ", SPACE):
+            raise ValueError(f"{path}: texts would be normalised otherwise than by a space before them")
         self.score, self.byte_id, self.unk = [], {}, sp.unk_id()
         self.bytes_of: list[bytes] = []
         self.automaton = ahocorasick.Automaton()
@@ -54,6 +61,8 @@ class Model:
                     self.automaton.add_word(piece, (len(piece), i, sp.get_score(i)))
                     lowest = min(lowest, sp.get_score(i))
                     split = split and "\n" not in piece and SPACE not in piece.lstrip(SPACE)
+        if len(self.byte_id) != 256:
+            raise ValueError(f"{path}: no pieces for single bytes")
         self.automaton.make_automaton()
         self.unknown = lowest - 10
         self.spans = re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if split else r"(?s).+")
@@ -130,10 +139,10 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     ``<ids_col>_exact`` whether they decode to the text.
 
     Null and empty texts have no ids. Other columns and all rows stay, columns
-    of the added names are replaced.
+    of the added names, in either case of their letters, are replaced.
     """
     added = [ids_col, f"{ids_col}_crc32", f"{ids_col}_exact"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
     rows = docs.select(*(f"`{c}`" for c in kept))
     schema = T.StructType([*rows.schema, T.StructField(added[0], T.ArrayType(T.IntegerType())), T.StructField(added[1], T.LongType()), T.StructField(added[2], T.BooleanType())])
     at = kept.index(text_col)
@@ -155,7 +164,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of ``ids_col`` in ``text_col``; null ids give null."""
-    kept = [c for c in rows.columns if c != text_col]
+    kept = [c for c in rows.columns if c.lower() != text_col.lower()]
     part = rows.select(*(f"`{c}`" for c in kept))
     at = kept.index(ids_col)
 

@@ -6,13 +6,15 @@ probabilities. Those it is trained on are out-of-fold: a document's earlier
 probabilities come from models that have not seen it.
 
 The chain is fitted on at most ``max_train`` labelled documents (the ones of
-smallest hash), from which near copies are folded into one with the majority's
-labels. Each category's words are the ``n_words`` of highest chi-square.
+smallest hash). Documents of the same words and counts are one, with the
+majority's labels; likely near copies, those that share the words of smallest
+checksum, are only kept in one fold. Each category's words are the ``n_words`` of highest chi-square.
 The model is a few hundred words a category and weights; scoring is one pass over all texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import string
 import zlib
 from collections import Counter
@@ -24,21 +26,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import bytes_of, materialize
+from stratalog.llm.common import bytes_of, discard, materialize
 
 FOLDS = 3
 #: Chi-square from which a word counts as bound to a category.
 CHI = 20.0
+#: Letters by which longer words are also known.
+STEM = 6
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
+def _stem(w: bytes) -> bytes | None:
+    """The first letters of a longer word, with a star."""
+    if len(w) <= STEM:
+        return None
+    if w.isascii():
+        return w[:STEM] + b"*"
+    letters = w.decode("utf-8", "replace")
+    return letters[:STEM].encode() + b"*" if len(letters) > STEM else None
+
+
 def words(text: bytes) -> Counter:
     """Counts of words, A-Z in lower case, ASCII punctuation as white space, and
-    of the first six bytes of longer ones, for inflected and compound words."""
+    of the first six letters of longer ones, for inflected and compound words."""
     found = Counter(text.translate(_BLANK).lower().split())
     for w, n in list(found.items()):
-        if len(w) > 6:
-            found[w[:6] + b"*"] += n
+        if (s := _stem(w)) is not None:
+            found[s] += n
     return found
 
 
@@ -54,7 +68,7 @@ class Chain:
         for w, n in Counter(text.translate(_BLANK).lower().split()).items():
             if w in at:
                 out[at[w]] = n
-            if len(w) > 6 and (i := at.get(w[:6] + b"*")) is not None:
+            if (s := _stem(w)) is not None and (i := at.get(s)) is not None:
                 out[i] = out.get(i, 0) + n
         return out
 
@@ -96,8 +110,9 @@ def _sample_rows(n_labels):
                 sketch = [b",".join(b"%08x" % x for x in sorted(zlib.crc32(w) for w in f)[:4]).decode() for f in found]
                 kinds = [sorted(f) for f in found]
                 counts = [[f[w] for w in k] for f, k in zip(found, kinds)]
-                cols = [pa.array(sketch), pa.array(kinds, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), *b.columns[1:]]
-                yield pa.RecordBatch.from_arrays(cols, names=["sketch", "words", "n", *(f"y{i}" for i in range(n_labels))])
+                same = [hashlib.sha256(b" ".join(b"%b %d" % x for x in zip(k, c))).digest() for k, c in zip(kinds, counts)]
+                cols = [pa.array(same), pa.array(sketch), pa.array(kinds, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), *b.columns[1:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["same", "sketch", "words", "n", *(f"y{i}" for i in range(n_labels))])
 
     return run
 
@@ -135,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     ys = [f"y{i}" for i in range(len(categories))]
     # at most max_train rows of a few bytes: bounded by that parameter
     text = docs.select(F.col(id_col).alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", *ys)
-    rows = text.mapInArrow(_sample_rows(len(ys)), "sketch string, words array<binary>, n array<int>, " + ", ".join(f"{y} int" for y in ys))
-    sample = materialize(rows.groupBy("sketch").agg(F.min(F.struct("words", "n")).alias("t"), *(F.round(F.avg(y)).cast("int").alias(y) for y in ys)), "sample")
+    rows = text.mapInArrow(_sample_rows(len(ys)), "same binary, sketch string, words array<binary>, n array<int>, " + ", ".join(f"{y} int" for y in ys))
+    sample = materialize(rows.groupBy("same").agg(F.first("sketch").alias("sketch"), F.first(F.struct("words", "n")).alias("t"), *(F.round(F.avg(y)).cast("int").alias(y) for y in ys)), "sample")
     total = sample.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     chain = Chain(list(categories))
     if not total["n"]:
@@ -181,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
             wf = _logistic(z[rest], target[rest]) if rest.any() and target[rest].min() != target[rest].max() else w
             out[held] = 1 / (1 + np.exp(-np.clip(z[held] @ wf, -30, 30)))
         earlier = np.hstack([earlier, out[:, None]])
+    discard(sample)
     return chain
 
 

@@ -37,11 +37,22 @@ def test_viterbi_is_the_best_segmentation(model):
         assert got + unknown * model.unknown == pytest.approx(best[len(s)])
 
 
+def test_library_agrees_on_what_pieces_spell(model):
+    """The library's own encoding (by merges) spells the same text in no more pieces; both are cut at the same spaces."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model_path())
+    for t in ("the quick brown fox", "Größe naïve", "x  y", "漢字", "a\nb"):
+        ids = model.encode(t).tolist()
+        assert model.decode(ids) == t == model.decode(sp.encode(t))
+        assert len(ids) <= 2 * len(sp.encode(t))
+
+
 def test_round_trip(spark, model):
     texts = ["", None, " ", "  two  spaces ", "line\nbreak\n\n", "naïve 漢字 \U0001f600 \x00\x07", "word " * 5000, "x" * 3000, "\ttab", "the the"]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, `IDS` string, `Decoded` string")
     out = spm.encode(df, queries.piece_model_path())
-    assert out.columns == ["doc_id", "text", "ids", "ids_crc32", "ids_exact"]
+    assert out.columns == ["doc_id", "text", "Decoded", "ids", "ids_crc32", "ids_exact"]
     back = spm.decode(out, queries.piece_model_path()).collect()
     assert len(back) == len(texts) and all(r.ids_exact and r.decoded == (r.text or "") for r in back)
     assert spm.encode(df.limit(0), queries.piece_model_path()).count() == 0
@@ -333,7 +344,7 @@ def test_toxicity_held_out_accuracy(spark):
     train, test = df.filter("doc_id < 400"), df.filter("doc_id >= 400")
     chain = toxicity.fit(df.select("doc_id", "text"), train.select("doc_id", "toxic", "severe"), ["toxic", "severe"])
     assert len(chain.weights[1]) == len(chain.words) + 2  # the later link sees the earlier
-    out = toxicity.score(test.withColumn("p_toxic", F.lit("clash")), chain)
+    out = toxicity.score(test.withColumn("P_Toxic", F.lit("clash")), chain)
     assert set(test.columns) | {"p_toxic", "p_severe"} == set(out.columns)
     assert out.filter("(p_toxic >= 0.5) = (truth = 1)").count() >= 0.98 * test.count()
 
@@ -352,6 +363,7 @@ def test_toxicity_counts_repeated_words(spark):
     texts = [(" ".join(plain[:40] + [w] * 4)).encode() for w in bad] + [" ".join(plain[:40]).encode(), b""]
     assert (chain.predict(texts)[:, 0] >= 0.5).tolist() == [True] * len(bad) + [False, False]
     assert toxicity.words(b"Vile, vile!") == {b"vile": 2}
+    assert toxicity.words("gr\u00fcnlich \u00fc\u00fc\u00fc\u00fc".encode()) == {"gr\u00fcnlich".encode(): 1, "gr\u00fcnli*".encode(): 1, ("\u00fc" * 4).encode(): 1}
 
 
 def test_toxicity_without_labels_or_rows(spark):
