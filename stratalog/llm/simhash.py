@@ -258,7 +258,9 @@ def _named(prints: DataFrame) -> DataFrame:
     (without id, id, row), and what names its group."""
     reps = materialize(prints.groupBy("fp").agg(_rep()), "reps")
     group = components(near_links(reps.select("fp")))
-    return materialize(reps.join(group, reps.fp == group.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("g")), "named")
+    named = materialize(reps.join(group, reps.fp == group.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("g")), "named")
+    discard(reps)
+    return named
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import brown, html, pii, queries, secrets, spm, toxicity
+from stratalog.llm import brown, html, pii, queries, secrets, simhash, spm, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -452,3 +452,92 @@ def test_crc_of_ids(spark, sf_dir):
     import numpy as np
 
     assert all(x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes()) and x.n_ids == len(x.ids) for x in r)
+
+
+def test_pages_by_another_parser(spark, sf_dir):
+    """op7 on the table against the standard library's parser: what lies in articles."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines, self.parts = 0, [], []
+
+        def close_line(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
+            if text:
+                self.lines.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "a", "i"):
+                self.close_line()
+            self.inside += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i"):
+                self.close_line()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in queries.op7_html(spark, sf_dir).collect()}
+    for i, h in pages.items():
+        p = Article()
+        p.feed(h or "")
+        p.close()
+        p.close_line()
+        assert got[i] == "\n".join(p.lines)
+
+
+def test_differencing_alone_finds_the_articles(spark, sf_dir):
+    """The table's pages without any structural hint: frames become plain divisions, with one menu and one footer a host."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    want = {r.page_id: r.text for r in queries.op7_html(spark, sf_dir).collect()}
+    rows = []
+    for r in pages:
+        host = r.url.split("/")[2]
+        bare = re.sub(r"<(/?)(?:nav|footer|article|ul|li)\b[^>]*>", r"<\1div>", re.sub(r'<div class="ad">.*?</div>', "", r.html, flags=re.S))
+        bare = re.sub(r"<div>(?:(?!</?b|<h1).)*?<a .*?(?=<!--)", f"<div>{host} menu</div>", bare, count=1, flags=re.S)
+        rows.append((r.page_id, r.url, re.sub(r"&copy;[^<]*", f"&copy; {host}", bare)))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    several = Counter(r.url.split("/")[2] for r in pages)
+    paired = [r.page_id for r in pages if several[r.url.split("/")[2]] > 1]
+    assert len(paired) >= 20 and sum("menu" not in got[i] and "\u00a9" not in got[i] for i in paired) >= 0.9 * len(paired)
+    assert sum(got[i] == want[i] for i in paired) >= 0.75 * len(paired)
+
+
+def test_surrogates_over_the_table(spark, sf_dir):
+    """op8 on the table against plain patterns: nothing found is left, other texts stay, one entity one surrogate."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op8_pii(spark, sf_dir).collect()}
+    mail, ip, ssn = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"
+    maps = {}
+    for i, t in texts.items():
+        new = got[i].text or ""
+        for kind in (mail, ip, ssn):
+            before, after = re.findall(kind, t), re.findall(kind, new)
+            assert len(before) == len(after) and not set(before) & set(after)
+            for a, b in zip(before, after):
+                assert maps.setdefault(a.lower(), b.lower()) == b.lower()
+        if not got[i].n_entities:
+            assert new == t
+        assert re.sub(r"[\W\d_]", "", t).isupper() or len(new) >= len(t) - 40 * got[i].n_entities
+    assert len(set(maps.values())) == len(maps) > 10
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    import os
+
+    from stratalog.llm import common
+
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    top = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(top))
+    with common.scratch(spark):
+        assert simhash.simhash_groups(df).count() == 2
+        assert set(os.listdir(top)) > before
+    assert set(os.listdir(top)) == before
