@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stratalog.llm import packing, pii, simhash, toxicity
-from stratalog.llm.common import materialize, read
+from stratalog.llm.common import discard, materialize, read
 from stratalog.llm.queries import CATEGORIES, low_quality_and_toxic, tokenizer_path
 
 
@@ -41,5 +41,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)  # the first are the input's own files, which stay
     return STAGES[-1][1](spark, docs, sf_dir)
