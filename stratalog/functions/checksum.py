@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
+#: Bytes of a block: what is summed byte by byte, for all blocks of all values at once.
+BLOCK = 1024
+
 
 def _table() -> np.ndarray:
     c = np.arange(256, dtype=np.uint32)
@@ -18,22 +21,50 @@ def _table() -> np.ndarray:
 _TABLE = _table()
 
 
+def _shift_tables(n: int) -> np.ndarray:
+    """What n zero bytes make of a register, which is linear: by its four bytes."""
+    c = (np.arange(4, dtype=np.uint32)[:, None] * 8).astype(np.uint32)
+    c = (np.arange(256, dtype=np.uint32)[None, :] << c).astype(np.uint32)
+    for _ in range(n):
+        c = _TABLE[c & 0xFF] ^ (c >> 8)
+    return c
+
+
+_SHIFT = _shift_tables(BLOCK)
+
+
+def _shifted(c: np.ndarray) -> np.ndarray:
+    return _SHIFT[0][c & 0xFF] ^ _SHIFT[1][c >> 8 & 0xFF] ^ _SHIFT[2][c >> 16 & 0xFF] ^ _SHIFT[3][c >> 24]
+
+
 def crc32c_many(values: list[bytes]) -> np.ndarray:
-    """Checksums of many values at once: a step takes one byte of each value
-    that still has one, so Python runs per byte position, not per byte."""
+    """Checksums of many values at once. Values are cut in blocks, the first the
+    shorter one; a step takes one byte of every block that still has one, so
+    Python runs BLOCK times whatever the sizes, and once more for each block
+    of the longest value, to join the blocks."""
     size = np.array([len(v) for v in values], np.int64)
-    order = np.argsort(-size, kind="stable")
-    start = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(values), np.uint8)
-    crc = np.full(len(values), 0xFFFFFFFF, np.uint32)
-    begin, length = start[order], size[order]
-    for p in range(length[0] if len(length) else 0):
-        n = np.searchsorted(-length, -p, "left")  # values longer than p
-        c = crc[:n]
-        crc[:n] = _TABLE[(c ^ flat[begin[:n] + p]) & 0xFF] ^ (c >> 8)
-    out = np.empty_like(crc)
-    out[order] = crc ^ np.uint32(0xFFFFFFFF)
-    return out
+    blocks = np.maximum(1, -(-size // BLOCK))
+    last = np.cumsum(blocks)
+    first = last - blocks
+    length = np.full(last[-1] if len(last) else 0, BLOCK, np.int64)
+    length[first] = size - (blocks - 1) * BLOCK
+    begin = np.cumsum(length) - length
+    crc = np.zeros(len(length), np.uint32)
+    crc[first] = 0xFFFFFFFF
+    order = np.argsort(-length, kind="stable")
+    b, n_, c = begin[order], length[order], crc[order]
+    for p in range(n_[0] if len(n_) else 0):
+        n = np.searchsorted(-n_, -p, "left")  # blocks longer than p
+        x = c[:n]
+        c[:n] = _TABLE[(x ^ flat[b[:n] + p]) & 0xFF] ^ (x >> 8)
+    crc[order] = c
+    out = crc[first]
+    order = np.argsort(-blocks, kind="stable")
+    for k in range(1, blocks.max() if len(blocks) else 0):
+        at = order[: np.searchsorted(-blocks[order], -k, "left")]  # values of more than k blocks
+        out[at] = _shifted(out[at]) ^ crc[first[at] + k]
+    return out ^ np.uint32(0xFFFFFFFF)
 
 
 @pandas_udf(LongType())

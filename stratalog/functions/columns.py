@@ -40,6 +40,28 @@ def latest_of(a: Column, b: Column) -> Column:
     return F.when(later, b).otherwise(a)
 
 
+def is_found(result_status: Column) -> Column:
+    return result_status == FOUND
+
+
+def is_deleted(result_status: Column) -> Column:
+    return result_status == DELETED
+
+
+def is_not_found(result_status: Column) -> Column:
+    return result_status == NOT_FOUND
+
+
+def map_found(result_status: Column, value: Column, f) -> Column:
+    """f of a found value; deleted and not found stay without one."""
+    return F.when(result_status == FOUND, f(value))
+
+
+def cast_absent(result_status: Column, kind: str) -> Column:
+    """The value, of another type, of a result that has none; a found one fails the query."""
+    return F.when(result_status != FOUND, F.lit(None).cast(kind)).otherwise(F.raise_error(F.lit("result is found")).cast(kind))
+
+
 def into_option(result_status: Column, value: Column) -> Column:
     return F.when(result_status == FOUND, value)
 

@@ -2,15 +2,26 @@
 
 Filters are tables: a range filter one row a blob, a Bloom filter one row for
 each 64-bit word with a bit set. They never deny a key that is there.
+
+A probe meets ranges by buckets: cuts, taken from the ranges' own ends, divide
+the keys' axis; a range lies in the buckets it spans and a probe in one, so both
+join by equality. Bloom words are looked up only for the blobs that the level
+before allows, by blob and word.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cuts of the keys' axis at most.
+CUTS = 1023
+
 
 def range_filter(log: DataFrame) -> DataFrame:
     return log.groupBy("blob_id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
@@ -20,27 +31,48 @@ def merge_ranges(ranges: DataFrame, group: Column) -> DataFrame:
     return ranges.groupBy(group.alias("group_id")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def candidates(ranges: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, blob_id) of the blobs whose range may hold the key. There is one
-    small row a blob; Spark broadcasts that side if its size allows."""
-    inside = (F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high"))
-    return probes.select("key").join(ranges, inside).select("key", "blob_id")
+def axis_cuts(ranges: DataFrame, most: int = CUTS) -> list:
+    """At most ``most`` of the ranges' low ends, drawn by hash: they divide the
+    keys' axis about as evenly as the ranges lie."""
+    rows = ranges.select("low").filter("low is not null").distinct().orderBy(F.xxhash64("low"), "low").limit(most).collect()
+    return sorted(bytes(r.low) if isinstance(r.low, bytearray) else r.low for r in rows)
+
+
+def _bucket(x: Column, cuts: list) -> Column:
+    """How many cuts lie at or below x, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    held = F.array(*(F.lit(c) for c in cuts))
+    steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+
+    def go(at: Column, s: Column) -> Column:
+        return F.when((at + s <= len(cuts)) & (F.get(held, at + s - 1) <= x), at + s).otherwise(at)
+
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), go)
+
+
+def candidates(ranges: DataFrame, probes: DataFrame, name: str = "blob_id") -> DataFrame:
+    """(key, ``name``) of the blobs (or groups) whose range may hold the key."""
+    cuts = axis_cuts(ranges)
+    spans = ranges.filter("low is not null").withColumn("_b", F.explode(F.sequence(_bucket(F.col("low"), cuts), _bucket(F.col("high"), cuts))))
+    rows = probes.select("key").withColumn("_b", _bucket(F.col("key"), cuts))
+    return rows.join(spans, "_b").filter("key >= low and key <= high").select("key", name)
 
 
 def check_filters(ranges: DataFrame, probes: DataFrame) -> DataFrame:
     """key, maybe: whether any blob may hold the key."""
-    hits = candidates(ranges, probes).select("key").distinct().withColumn("_h", F.lit(True))
-    return probes.select("key").join(hits, "key", "left").select("key", F.coalesce("_h", F.lit(False)).alias("maybe"))
+    return maybe(probes, candidates(ranges, probes))
 
 
-def hierarchical(ranges: DataFrame, probes: DataFrame, group_size: int = 8) -> DataFrame:
-    """(key, blob_id) as ``candidates``, by groups of blobs first: a blob's
-    range is looked at only where its group's may hold the key."""
-    with_group = ranges.withColumn("group_id", F.floor(F.col("blob_id") / group_size))
-    groups = merge_ranges(with_group, F.col("group_id"))
-    first = probes.select("key").join(groups, (F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high"))).select("key", "group_id")
-    second = first.join(with_group, "group_id").filter((F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")))
-    return second.select("key", "blob_id")
+def maybe(probes: DataFrame, hits: DataFrame) -> DataFrame:
+    """key, maybe for each probe, of hits by any filter."""
+    allowed = hits.select("key").distinct().withColumn("_h", F.lit(True))
+    return probes.select("key").join(allowed, "key", "left").select("key", F.coalesce("_h", F.lit(False)).alias("maybe"))
+
+
+def either(a: Column, b: Column) -> Column:
+    """Sum of two results: denied only where both deny."""
+    return a | b
 
 
 def bloom_bits(elements: int, hashers: int, max_bits: int, fpr: float) -> int:
@@ -72,13 +104,189 @@ def merge_blooms(words: DataFrame, group: Column) -> DataFrame:
     return words.groupBy(group.alias("group_id"), "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def bloom_check(words: DataFrame, probes: DataFrame, hashers: int, bits: int, by: str = "blob_id") -> DataFrame:
-    """(key, blob_id) where all bits of the key are set."""
-    at = probes.select("key", _positions(hashers, bits).alias("ps")).select("key", F.size("ps").alias("need"), F.explode("ps").alias("p")).withColumn("word", F.floor(F.col("p") / 64))
-    set_ = at.join(words, "word").filter(F.call_function("getbit", F.col("bits"), F.pmod("p", F.lit(64)).cast("int")) == 1)
-    return set_.groupBy("key", by, "need").agg(F.count("*").alias("n")).filter("n = need").select("key", by)
+def bloom_check(words: DataFrame, pairs: DataFrame, hashers: int, bits: int, by: str = "blob_id") -> DataFrame:
+    """Of pairs (key, blob_id) those where all bits of the key are set in the
+    blob's filter: each looks up its own blob's words, as many as hash functions."""
+    at = pairs.select("key", by, _positions(hashers, bits).alias("ps")).select("key", by, F.size("ps").alias("need"), F.explode("ps").alias("p")).withColumn("word", F.floor(F.col("p") / 64))
+    set_ = at.join(words, [by, "word"]).filter(F.call_function("getbit", F.col("bits"), F.pmod("p", F.lit(64)).cast("int")) == 1)
+    return set_.groupBy("key", by, "need").agg(F.countDistinct("p").alias("n")).filter("n = need").select("key", by)
+
+
+def bloom_to_raw(words: DataFrame, hashers: int, bits: int, by: str = "blob_id") -> DataFrame:
+    """(blob_id, raw): each filter as bytes: hash functions and bits as 64-bit
+    numbers, then its words with a bit set, number and bits."""
+    word = F.concat(F.lpad(F.hex("word"), 16, "0"), F.lpad(F.hex("bits"), 16, "0"))
+    head = f"{hashers:016X}{bits:016X}"
+    return words.groupBy(by).agg(F.unhex(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(word)), ""))).alias("raw"))
+
+
+def bloom_from_raw(raw: DataFrame, by: str = "blob_id") -> DataFrame:
+    """(blob_id, hashers, filter_bits, word, bits) of ``bloom_to_raw``."""
+    hexed = raw.select(by, F.hex("raw").alias("h"))
+
+    def number(at):
+        return F.conv(F.substring(F.col("h"), at, F.lit(16)), 16, -10).cast("long")
+
+    n = (F.length("h") / 32).cast("int") - 1
+    rows = hexed.filter(n > 0).select(by, "h", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    return rows.select(by, number(F.lit(1)).alias("hashers"), number(F.lit(17)).alias("filter_bits"), number(F.col("i") * 32 + 1).alias("word"), number(F.col("i") * 32 + 17).alias("bits"))
+
+
+def combined(range_hits: DataFrame, words: DataFrame | None, hashers: int = 0, bits: int = 0) -> DataFrame:
+    """Both filters must allow a blob: ranges first, Bloom filters for what they
+    allow; without Bloom filters ranges decide."""
+    return range_hits if words is None or not hashers else bloom_check(words, range_hits, hashers, bits)
+
+
+def exact(log: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (key, blob_id) those whose blob has the key: what an index in memory says."""
+    return pairs.join(log.select("key", "blob_id"), ["key", "blob_id"], "left_semi")
+
+
+class Filter(Protocol):
+    """A kind of filter: a table made from a log, that names pairs (key,
+    blob_id) which may be there. ``check`` must never drop one that is."""
+
+    def build(self, log: DataFrame) -> DataFrame: ...
+
+    def check(self, table: DataFrame, pairs: DataFrame) -> DataFrame: ...
+
+    def merge(self, table: DataFrame, group: Column) -> DataFrame: ...
+
+
+class RangeFilter:
+    def build(self, log: DataFrame) -> DataFrame:
+        return range_filter(log)
+
+    def check(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
+        return pairs.join(table, "blob_id").filter("key >= low and key <= high").select("key", "blob_id")
+
+    def merge(self, table: DataFrame, group: Column) -> DataFrame:
+        return merge_ranges(table, group)
+
 
+@dataclass
+class BloomFilter:
+    hashers: int
+    bits: int
 
-def combined(range_hits: DataFrame, bloom_hits: DataFrame) -> DataFrame:
-    """Both filters must allow a blob."""
-    return range_hits.join(bloom_hits, ["key", "blob_id"], "left_semi")
+    def build(self, log: DataFrame) -> DataFrame:
+        return bloom(log, self.hashers, self.bits)
+
+    def check(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
+        return bloom_check(table, pairs, self.hashers, self.bits)
+
+    def merge(self, table: DataFrame, group: Column) -> DataFrame:
+        return merge_blooms(table, group)
+
+
+def checked(filters: list[tuple[Filter | None, DataFrame | None]], pairs: DataFrame) -> DataFrame:
+    """pairs that every filter allows; an absent filter allows all."""
+    for kind, table in filters:
+        if kind is not None and table is not None:
+            pairs = kind.check(table, pairs)
+    return pairs
+
+
+@dataclass(frozen=True)
+class FilterTree:
+    """Two levels of filters: groups of ``group_size`` blobs, each with the
+    union of its blobs' filters, over the blobs. Trees are values: what changes
+    one returns another. ``ranges`` (blob_id, low, high) and ``words`` (blob_id,
+    word, bits) hold the leaves; groups follow from them, by a blob's id."""
+
+    ranges: DataFrame
+    words: DataFrame | None = None
+    hashers: int = 0
+    bits: int = 0
+    group_size: int = 8
+
+    @staticmethod
+    def of(log: DataFrame, hashers: int = 0, bits: int = 0, group_size: int = 8) -> FilterTree:
+        return FilterTree(range_filter(log), bloom(log, hashers, bits) if hashers else None, hashers, bits, group_size)
+
+    def _group(self) -> Column:
+        return F.floor(F.col("blob_id") / self.group_size)
+
+    def _with(self, keep) -> FilterTree:
+        return replace(self, ranges=keep(self.ranges), words=None if self.words is None else keep(self.words))
+
+    def extend(self, other: FilterTree) -> FilterTree:
+        """Blobs of another tree added; those of one id are merged."""
+        if (self.hashers, self.bits) != (other.hashers, other.bits):
+            raise ValueError("filters of different sizes do not merge")
+        ranges = self.ranges.unionByName(other.ranges).groupBy("blob_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        words = None if self.words is None else self.words.unionByName(other.words).groupBy("blob_id", "word").agg(F.bit_or("bits").alias("bits"))
+        return replace(self, ranges=ranges, words=words)
+
+    def add(self, log: DataFrame) -> FilterTree:
+        """Keys of a log (key, blob_id) added to their blobs, and so to the groups above."""
+        return self.extend(FilterTree.of(log, self.hashers, self.bits, self.group_size))
+
+    def remove(self, blob_id: int) -> FilterTree:
+        return self._with(lambda t: t.filter(F.col("blob_id") != blob_id))
+
+    def pop(self) -> tuple[FilterTree, DataFrame]:
+        """The tree without its last blob, and that blob's range."""
+        last = self.last_id()
+        return (self, self.ranges.limit(0)) if last is None else (self.remove(last), self.get(last))
+
+    def clear(self) -> FilterTree:
+        return self._with(lambda t: t.limit(0))
+
+    def get(self, blob_id: int) -> DataFrame:
+        return self.ranges.filter(F.col("blob_id") == blob_id)
+
+    def last_id(self) -> int | None:
+        return self.ranges.agg(F.max("blob_id")).first()[0]
+
+    def last(self) -> DataFrame:
+        return self.ranges.orderBy(F.desc("blob_id")).limit(1)
+
+    def __len__(self) -> int:
+        return self.ranges.count()
+
+    def ids(self, reverse: bool = False) -> Iterator[int]:
+        order = F.desc("blob_id") if reverse else F.asc("blob_id")
+        return (r.blob_id for r in self.ranges.select("blob_id").orderBy(order).toLocalIterator())
+
+    def groups(self) -> FilterTree:
+        """The upper level as a tree of its own, a group's id in place of a blob's."""
+        named = merge_ranges(self.ranges, self._group()).withColumnRenamed("group_id", "blob_id")
+        words = None if self.words is None else merge_blooms(self.words, self._group()).withColumnRenamed("group_id", "blob_id")
+        return replace(self, ranges=named, words=words)
+
+    def whole(self) -> FilterTree:
+        """The filter of all blobs together, as blob 0."""
+        named = merge_ranges(self.ranges, F.lit(0).cast("long")).withColumnRenamed("group_id", "blob_id")
+        words = None if self.words is None else merge_blooms(self.words, F.lit(0).cast("long")).withColumnRenamed("group_id", "blob_id")
+        return replace(self, ranges=named, words=words)
+
+    def _allowed(self, probes: DataFrame) -> DataFrame:
+        return combined(candidates(self.ranges, probes), self.words, self.hashers, self.bits)
+
+    def possible(self, probes: DataFrame) -> DataFrame:
+        """(key, blob_id) that the filters of the group and of the blob allow: a
+        blob's are looked at only where its group's allow the key."""
+        first = self.groups()._allowed(probes.select("key").distinct()).withColumnRenamed("blob_id", "_g")
+        leaves = self.ranges.withColumn("_g", self._group())
+        pairs = first.join(leaves, "_g").filter("key >= low and key <= high").select("key", "blob_id")
+        return combined(pairs, self.words, self.hashers, self.bits)
+
+    def visit(self, probes: DataFrame, reverse: bool = False) -> DataFrame:
+        """key, blob_ids: the blobs to look into, in order of id or from the newest."""
+        return self.possible(probes).groupBy("key").agg(F.sort_array(F.collect_set("blob_id"), asc=not reverse).alias("blob_ids"))
+
+    def check(self, probes: DataFrame) -> DataFrame:
+        """key, maybe for each probe."""
+        return maybe(probes, self.possible(probes))
+
+    def memory(self) -> DataFrame:
+        """filter_bytes: the buffers of all blobs' and groups' Bloom filters."""
+        each = -(-self.bits // 64) * 8 if self.hashers else 0
+        return self.ranges.select("blob_id", self._group().alias("g")).agg(((F.count("*") + F.countDistinct("g")) * F.lit(each)).cast("long").alias("filter_bytes"))
+
+
+def hierarchical(ranges: DataFrame, probes: DataFrame, group_size: int = 8) -> DataFrame:
+    """(key, blob_id) as ``candidates``, by groups of blobs first."""
+    return FilterTree(ranges, group_size=group_size).possible(probes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.checksum import crc32c
 
+#: Fixed values of the file format.
 BLOB_MAGIC, RECORD_MAGIC, BLOB_VERSION = 0xDEAFABCD, 0xACDCBCDE, 1
 
 
@@ -41,6 +42,18 @@ def migrate(log: DataFrame, source: int, target: int) -> DataFrame:
     return log.withColumn("key", F.unhex(F.array_join(F.reverse(pairs), "")))  # reverse() itself takes binary for text
 
 
+#: Kinds of damage, by where they show.
+BLOB_ERRORS = ("BlobMagicByte", "BlobVersion", "BlobKeySize")
+RECORD_ERRORS = ("RecordMagicByte", "RecordHeaderChecksum", "RecordDataChecksum", "Bincode")
+INDEX_ERRORS = ("IndexVersion", "IndexKeySize", "IndexBlobSize", "IndexChecksum")
+
+
+def first_errors(records: DataFrame) -> DataFrame:
+    """(blob_id, error_kind): each blob's first damage, null for sound ones."""
+    at = F.when(F.col("error_kind").isNotNull(), F.struct("seq", "error_kind"))
+    return records.groupBy("blob_id").agg(F.min(at).alias("_e")).select("blob_id", F.col("_e.error_kind").alias("error_kind"))
+
+
 def triage(blobs: DataFrame, ignore_corrupted: bool = False) -> DataFrame:
     """What opening does with each blob, by its ``error_kind``: open, fail (a
     version this code does not know), or quarantine (skip if corrupted blobs

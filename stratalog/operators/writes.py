@@ -8,7 +8,7 @@ meta. Inserts of a key that is present are silently dropped, as are deletes
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.columns import meta_canon
@@ -77,7 +77,9 @@ def delete_plan(log: DataFrame, keys: DataFrame, only_if_presented: bool = True,
     return marked
 
 
-def tombstones(plan: DataFrame, timestamp: int, first_seq: int) -> DataFrame:
-    """Rows to append for a delete plan; one each, numbered from first_seq by key and blob."""
+def tombstones(plan: DataFrame, timestamp: int, first_seq: int, meta: Column | None = None) -> DataFrame:
+    """Rows to append for a delete plan, each to its own blob, with the
+    metadata given; one each, numbered from first_seq by key and blob."""
     n = F.row_number().over(Window.partitionBy("blob_id").orderBy("key"))
-    return plan.select("key", F.lit(timestamp).cast("long").alias("timestamp"), "blob_id", (F.lit(first_seq) + n - 1).cast("long").alias("seq"), F.lit(True).alias("is_deleted"))
+    rows = plan.select("key", F.lit(timestamp).cast("long").alias("timestamp"), "blob_id", (F.lit(first_seq) + n - 1).cast("long").alias("seq"), F.lit(True).alias("is_deleted"))
+    return rows if meta is None else rows.withColumn("meta", meta)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions.checksum import crc32c
-from stratalog.functions.columns import key_of_long, meta_canon
+from stratalog.functions.columns import is_deleted, is_found, key_of_long, map_found, meta_canon
 from stratalog.operators import filters, integrity, reads, segments, stats, writes
 from stratalog.sources import tables
 
@@ -70,6 +70,37 @@ def kv_live_versions(spark, sf_dir):
     return _out(reads.live(tables.events(spark, sf_dir)), "key", "seq")
 
 
+@query(f"WITH {_E} SELECT k, blob_id, CASE WHEN arg_max(gone, (t, seq)) THEN 'deleted' ELSE 'found' END AS status, max(t) AS \"timestamp\", arg_max(seq, (t, seq)) AS seq FROM e WHERE k % 3 = 0 GROUP BY k, blob_id")
+def kv_blob_latest(spark, sf_dir):
+    """Newest version inside each blob that the filters allow."""
+    log = tables.events(spark, sf_dir)
+    probes = log.filter("key % 3 = 0").select("key").distinct()
+    pairs = filters.FilterTree.of(log, *_BLOOM).possible(probes)
+    return _out(reads.latest_in_blobs(log, pairs), "key", "blob_id", "status", "timestamp", "seq")
+
+
+@query(f"WITH {_E}, h AS (SELECT *, coalesce(sum(CAST(gone AS INT)) OVER (PARTITION BY k, blob_id ORDER BY t DESC, seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY k, blob_id ORDER BY t DESC, seq DESC) AS rank FROM e) SELECT k, blob_id, rank, seq, CAST(gone AS INT) AS is_deleted FROM h WHERE before = 0")
+def kv_blob_history(spark, sf_dir):
+    return _out(reads.history_with_marker(tables.events(spark, sf_dir), ("blob_id", "key")), "key", "blob_id", "rank", "seq", "is_deleted")
+
+
+@query("SELECT doc_id AS k, (doc_id * 7919) % 97 >= 6 AS data_ok, doc_id % 11 <> 0 AS header_ok FROM documents")
+def kv_load_checked(spark, sf_dir):
+    """Full records against the checksums of their data and headers; every eleventh header is damaged."""
+    log = _with_damage(tables.documents(spark, sf_dir)).withColumn("key", key_of_long(F.col("key")))
+    sized = log.withColumns({"meta_size": F.lit(0).cast("long"), "data_size": F.octet_length("data").cast("long"), "blob_offset": F.col("seq") * 100})
+    stamped = sized.withColumn("header_checksum", crc32c(reads.header_bytes()) + F.when(F.col("seq") % 11 == 0, 1).otherwise(0))
+    return reads.load(stamped).select(F.col("seq").alias("k"), "data_ok", "header_ok")
+
+
+@query(f"WITH {_E}, w AS (SELECT k, arg_max(gone, (t, blob_id, seq)) AS gone, arg_max(data, (t, blob_id, seq)) AS data FROM e GROUP BY k) SELECT k, CAST(NOT gone AS INT) AS found, CAST(gone AS INT) AS deleted, CASE WHEN NOT gone THEN octet_length(encode(data)) END AS bytes FROM w")
+def kv_result_algebra(spark, sf_dir):
+    """is_found, is_deleted and map of read results."""
+    r = reads.read(tables.events(spark, sf_dir))
+    bytes_ = map_found(F.col("status"), F.col("data"), lambda d: F.octet_length(d).cast("long"))
+    return r.select(F.col("key").alias("k"), is_found(F.col("status")).cast("int").alias("found"), is_deleted(F.col("status")).cast("int").alias("deleted"), bytes_.alias("bytes"))
+
+
 _WITH = "SELECT k, CASE WHEN arg_max(gone, (t, blob_id, seq)) FILTER (gone OR {0}) IS NULL THEN 'not_found' WHEN arg_max(gone, (t, blob_id, seq)) FILTER (gone OR {0}) THEN 'deleted' ELSE 'found' END AS status, arg_max(seq, (t, blob_id, seq)) FILTER (gone OR {0}) AS seq FROM {1} GROUP BY k"
 
 
@@ -210,19 +241,82 @@ def kv_hierarchical_prune(spark, sf_dir):
     return _out(filters.hierarchical(filters.range_filter(tables.orders(spark, sf_dir)), _probes(spark, sf_dir)), "key", "blob_id")
 
 
-@query()
+_BLOOM = (2, filters.bloom_bits(1000, 2, 100_000, 0.001))
+
+
+def _present(spark, sf_dir):
+    """Order keys, all in the table: no filter may deny them."""
+    return tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+
+
+@query(f"WITH {_O} SELECT k, blob_id FROM o")
 def kv_bloom_check(spark, sf_dir):
-    log, probes = tables.orders(spark, sf_dir), _probes(spark, sf_dir)
-    bits = filters.bloom_bits(1000, 2, 100_000, 0.001)
-    return _out(filters.bloom_check(filters.bloom(log, 2, bits), probes, 2, bits), "key", "blob_id")
+    """Every key against the Bloom filters of the blobs whose range allows it."""
+    log = tables.orders(spark, sf_dir)
+    pairs = filters.candidates(filters.range_filter(log), _present(spark, sf_dir))
+    return _out(filters.bloom_check(filters.bloom(log, *_BLOOM), pairs, *_BLOOM), "key", "blob_id")
 
 
-@query()
+@query(f"WITH {_O}, r AS (SELECT min(k) AS low, max(k) AS high FROM o) SELECT CAST(count(*) FILTER (k % 4 = 0) AS BIGINT) AS present, CAST(0 AS BIGINT) AS denied, true AS rarely_wrong FROM o")
 def kv_combined_check(spark, sf_dir):
+    """Range and Bloom filters over a log of every fourth order: its keys are never denied, others inside its ranges rarely pass."""
+    log = tables.orders(spark, sf_dir).filter("key % 4 = 0")
+    tree = filters.FilterTree.of(log, *_BLOOM)
+    hits = filters.combined(filters.candidates(tree.ranges, _present(spark, sf_dir)), tree.words, *_BLOOM)
+    found = filters.maybe(_present(spark, sf_dir), hits)
+    held = F.col("key") % 4 == 0
+    counts = found.agg(F.count_if(held).alias("present"), F.count_if(held & ~F.col("maybe")).alias("denied"), F.count_if(~held & F.col("maybe")).alias("wrong"), F.count_if(~held).alias("absent"))
+    return counts.select("present", "denied", (F.col("wrong") <= 0.01 * F.col("absent")).alias("rarely_wrong"))
+
+
+@query(f"WITH {_O}, p AS (SELECT o_orderkey * 2 AS k FROM orders) SELECT p.k, CAST(o.k IS NOT NULL AS INT) AS maybe FROM p LEFT JOIN o USING (k)")
+def kv_exact_check(spark, sf_dir):
+    """What an index in memory says: exact, of the blobs that ranges allow."""
     log, probes = tables.orders(spark, sf_dir), _probes(spark, sf_dir)
-    bits = filters.bloom_bits(1000, 2, 100_000, 0.001)
-    ranges = filters.candidates(filters.range_filter(log), probes)
-    return _out(filters.combined(ranges, filters.bloom_check(filters.bloom(log, 2, bits), probes, 2, bits)), "key", "blob_id")
+    hits = filters.exact(log, filters.candidates(filters.range_filter(log), probes))
+    return _out(filters.maybe(probes, hits), "key", "maybe")
+
+
+@query(f"WITH {_E} SELECT k, string_agg(DISTINCT CAST(blob_id AS VARCHAR), ',' ORDER BY CAST(blob_id AS VARCHAR)) AS blobs FROM (SELECT k, blob_id, max(blob_id) OVER (PARTITION BY k) AS m FROM e) WHERE blob_id = m GROUP BY k")
+def kv_hierarchical_reverse(spark, sf_dir):
+    """The newest blob that may hold each user's records, by a reverse visit of the two-level tree."""
+    log = tables.events(spark, sf_dir)
+    tree = filters.FilterTree.of(log, *_BLOOM)
+    held = log.select("key", "blob_id").distinct()
+    visit = tree.visit(log.select("key").distinct(), reverse=True).select("key", F.posexplode("blob_ids").alias("n", "blob_id"))
+    first = visit.join(held, ["key", "blob_id"], "left_semi").groupBy("key").agg(F.min_by("blob_id", "n").alias("b"))
+    return first.select(F.col("key").alias("k"), F.col("b").cast("string").alias("blobs"))
+
+
+@query(f"WITH {_O} SELECT k // 8000 AS group_id, true AS same FROM o GROUP BY 1")
+def kv_bloom_merge(spark, sf_dir):
+    """Merged filters of eight blobs are the filter of their keys together."""
+    log = tables.orders(spark, sf_dir)
+    group = F.floor(F.col("blob_id") / 8)
+    merged = filters.merge_blooms(filters.bloom(log, *_BLOOM), group)
+    whole = filters.bloom(log.withColumn("group_id", group), *_BLOOM, by="group_id")
+    both = merged.join(whole.withColumnRenamed("bits", "other"), ["group_id", "word"], "full")
+    return both.groupBy("group_id").agg(F.bool_and(F.col("bits").eqNullSafe(F.col("other"))).alias("same"))
+
+
+@query(f"WITH {_O} SELECT blob_id, true AS same FROM o GROUP BY 1")
+def kv_bloom_raw(spark, sf_dir):
+    """Filters as bytes and back."""
+    words = filters.bloom(tables.orders(spark, sf_dir), *_BLOOM)
+    back = filters.bloom_from_raw(filters.bloom_to_raw(words, *_BLOOM))
+    ok = (F.col("bits").eqNullSafe(F.col("other"))) & (F.col("hashers") == _BLOOM[0]) & (F.col("filter_bits") == _BLOOM[1])
+    return words.join(back.withColumnRenamed("bits", "other"), ["blob_id", "word"], "full").groupBy("blob_id").agg(F.bool_and(ok).alias("same"))
+
+
+@query(f"WITH {_O} SELECT CAST((count(DISTINCT blob_id) + count(DISTINCT blob_id // 8)) * {-(-_BLOOM[1] // 64) * 8} AS BIGINT) AS filter_bytes FROM o")
+def kv_filter_memory(spark, sf_dir):
+    return filters.FilterTree.of(tables.orders(spark, sf_dir), *_BLOOM).memory()
+
+
+@query(f"WITH {_E} SELECT min(k) AS low, max(k) AS high FROM e")
+def kv_storage_filter(spark, sf_dir):
+    """The filter of the whole storage."""
+    return filters.FilterTree.of(tables.events(spark, sf_dir)).whole().ranges.select("low", "high")
 
 
 _CONFIGS = [(1000, 2, 1000, 0.01), (100_000, 2, 8_388_608, 0.001), (1000, 3, 0, 0.01), (1000, 0, 100, 0.01), (50_000, 5, 10_000_000, 0.0001)]
@@ -240,7 +334,21 @@ def kv_insert_no_duplicates(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT k, seq FROM (SELECT k, seq, gone, lag(gone) OVER (PARTITION BY k ORDER BY seq) AS g FROM e) WHERE (gone AND NOT g) OR (NOT gone AND (g IS NULL OR g))")
 def kv_insert_delete_if_present(spark, sf_dir):
-    return _out(writes.insert_any_order(tables.events(spark, sf_dir), only_if_presented=True), "key", "seq")
+    return _out(writes.insert_monotone(tables.events(spark, sf_dir), only_if_presented=True), "key", "seq")
+
+
+_STEP = "CASE WHEN o.gone THEN {p} ELSE NOT {p} END"
+
+
+@query(f"""WITH RECURSIVE {_L.replace("l AS (", "l AS (")}, o AS (SELECT k, t, seq, gone, row_number() OVER (PARTITION BY k ORDER BY seq) AS n FROM l),
+ f AS (SELECT k, n, seq, NOT gone AS written, CASE WHEN NOT gone THEN t END AS bt, CASE WHEN NOT gone THEN seq END AS bs, CASE WHEN NOT gone THEN false END AS bg FROM o WHERE n = 1
+  UNION ALL SELECT x.k, x.n, x.seq, x.w, CASE WHEN x.take THEN x.t ELSE x.bt END, CASE WHEN x.take THEN x.seq ELSE x.bs END, CASE WHEN x.take THEN x.gone ELSE x.bg END
+  FROM (SELECT y.*, y.w AND (y.bt IS NULL OR (y.t, y.seq) >= (y.bt, y.bs)) AS take FROM
+   (SELECT o.k, o.n, o.seq, o.t, o.gone, f.bt, f.bs, f.bg, {_STEP.format(p="coalesce(NOT f.bg, false)")} AS w FROM f JOIN o ON o.k = f.k AND o.n = f.n + 1) y) x)
+ SELECT k, seq FROM f WHERE written""")
+def kv_insert_any_order(spark, sf_dir):
+    """Conditional inserts and deletes where timestamps rise and fall: each key is folded in sequence."""
+    return _out(writes.insert_any_order(tables.lineitem(spark, sf_dir), only_if_presented=True), "key", "seq")
 
 
 @query(f"WITH {_E} SELECT k, min(seq) AS seq FROM e WHERE NOT gone GROUP BY k, event_type")
@@ -260,17 +368,48 @@ def kv_delete_plan(spark, sf_dir):
     return _out(writes.delete_plan(log, log), "key", "blob_id")
 
 
+@query(f"WITH {_E}, w AS (SELECT k, blob_id FROM e GROUP BY k, blob_id HAVING NOT arg_max(gone, (t, seq))) SELECT k, blob_id, 2000000000 AS \"timestamp\", 1000000 + row_number() OVER (PARTITION BY blob_id ORDER BY k) - 1 AS seq, 'cleanup' AS reason FROM w")
+def kv_delete_with(spark, sf_dir):
+    """Tombstones with metadata, in every blob whose own newest version is live."""
+    log = tables.events(spark, sf_dir)
+    stones = writes.tombstones(writes.delete_plan(log, log), 2_000_000_000, 1_000_000, _meta(reason="cleanup"))
+    return _out(stones.withColumn("reason", F.decode(F.col("meta")["reason"], "utf-8")), "key", "blob_id", "timestamp", "seq", "reason")
+
+
+@query(f"WITH {_E}, w AS (SELECT k, blob_id FROM e GROUP BY k, blob_id HAVING NOT arg_max(gone, (t, seq))) SELECT k, blob_id FROM w UNION SELECT DISTINCT k, (SELECT max(blob_id) FROM e) AS blob_id FROM e")
+def kv_delete_active(spark, sf_dir):
+    """A delete that also marks the active blob, whether or not it has the key."""
+    log = tables.events(spark, sf_dir)
+    return _out(writes.delete_plan(log, log.select("key").distinct(), False, log.agg(F.max("blob_id")).first()[0]), "key", "blob_id")
+
+
 @query("SELECT event_id AS seq, CAST((row_number() OVER (ORDER BY event_id) - 1) // 700 AS BIGINT) AS blob_id FROM events")
 def kv_rotate_by_count(spark, sf_dir):
     return segments.rotate_by_count(tables.events(spark, sf_dir), 700).select("seq", "blob_id")
 
 
-@query()
+_DOC_SIZE = "65 + 8 + 16 + 4 + octet_length(encode(lang)) + 16 + 6 + octet_length(encode(source)) + octet_length(encode(text))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_DOC_SIZE} AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+ f AS (SELECT n, doc_id, 0 AS blob_id, 20 + size AS used FROM d WHERE n = 1
+  UNION ALL SELECT d.n, d.doc_id, f.blob_id + CAST(f.used >= 100000 AS INT), CASE WHEN f.used >= 100000 THEN 20 ELSE f.used END + d.size FROM f JOIN d ON d.n = f.n + 1)
+ SELECT doc_id AS seq, CAST(blob_id AS BIGINT) AS blob_id FROM f""")
 def kv_rotate_by_size(spark, sf_dir):
     sizes = tables.documents(spark, sf_dir).select("seq", segments.record_size(8, F.col("meta"), F.col("data")).alias("size"))
     return segments.rotate_by_size(sizes, 100_000)
 
 
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_DOC_SIZE} AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+ f AS (SELECT n, doc_id, 0 AS blob_id, 20 + size AS used, 1 AS held FROM d WHERE n = 1
+  UNION ALL SELECT d.n, d.doc_id, f.blob_id + CAST(f.used >= 100000 OR f.held >= 20 AS INT), CASE WHEN f.used >= 100000 OR f.held >= 20 THEN 20 ELSE f.used END + d.size, CASE WHEN f.used >= 100000 OR f.held >= 20 THEN 1 ELSE f.held + 1 END FROM f JOIN d ON d.n = f.n + 1)
+ SELECT doc_id AS seq, CAST(blob_id AS BIGINT) AS blob_id FROM f""")
+def kv_rotate(spark, sf_dir):
+    """Rotation by size and count, whichever is reached first."""
+    sizes = tables.documents(spark, sf_dir).select("seq", segments.record_size(8, F.col("meta"), F.col("data")).alias("size"))
+    return segments.rotate(sizes, 100_000, 20)
+
+
 @query(f"WITH {_E} SELECT seq, blob_id, CAST(20 + coalesce(sum({_SIZE}) OVER (PARTITION BY blob_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS blob_offset FROM e")
 def kv_offsets(spark, sf_dir):
     return segments.offsets(_sized(spark, sf_dir)).select("seq", "blob_id", "blob_offset")
@@ -306,6 +445,22 @@ def kv_migrate_v0_v1(spark, sf_dir):
 
 
 _KIND = "CASE WHEN (blob_id * 7919) % 7 = 0 THEN 'BlobVersion' WHEN (blob_id * 7919) % 7 = 1 THEN 'Bincode' WHEN (blob_id * 7919) % 7 = 2 THEN 'RecordDataChecksum' END"
+_RECORD_KIND = "CASE WHEN (seq * 7919) % 97 < 3 THEN 'RecordHeaderChecksum' WHEN (seq * 7919) % 97 < 6 THEN 'RecordDataChecksum' END"
+
+
+@query(f"WITH {_E}, b AS (SELECT blob_id, seq, {_RECORD_KIND} AS kind FROM e) SELECT blob_id, arg_min(kind, seq) FILTER (kind IS NOT NULL) AS error_kind FROM b GROUP BY 1")
+def kv_first_errors(spark, sf_dir):
+    """The damage that opening each blob meets first."""
+    return integrity.first_errors(tables.events(spark, sf_dir).withColumn("error_kind", F.expr(_RECORD_KIND)))
+
+
+@query(f"WITH {_E}, b AS (SELECT DISTINCT blob_id, coalesce({_KIND}, '') IN ('Bincode', 'RecordDataChecksum') AS bad FROM e) SELECT CAST(count(*) FILTER (bad) AS BIGINT) AS corrupted FROM b")
+def kv_corrupted_blobs_count(spark, sf_dir):
+    """Blobs that triage would move away."""
+    blobs = tables.events(spark, sf_dir).select("blob_id").distinct().withColumn("error_kind", F.expr(_KIND))
+    return integrity.triage(blobs).agg(F.count_if(F.col("action") == "quarantine").alias("corrupted"))
+
+
 
 
 @query(f"WITH {_E}, b AS (SELECT DISTINCT blob_id FROM e) SELECT blob_id, CASE WHEN {_KIND} IS NULL THEN 'open' WHEN {_KIND} = 'BlobVersion' THEN 'fail' ELSE 'quarantine' END AS action FROM b")

@@ -9,19 +9,21 @@ All numbers are little-endian, lengths 64-bit.
   record         header, metadata (count, then length and bytes of each name
                  and value), data
 Files are read as whole rows by Spark's binary source, so they may lie in any
-store; a blob's size is bounded by its rotation limit.
+store; a blob's size is bounded by its rotation limit. What writes files
+(blobs, recovered ones) needs a directory that all executors mount.
 """
 
 from __future__ import annotations
 
 import struct
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions.checksum import crc32c_many
-from stratalog.operators.integrity import BLOB_MAGIC, BLOB_VERSION, RECORD_MAGIC
+from stratalog.operators.integrity import BLOB_MAGIC, BLOB_VERSION, RECORD_MAGIC, first_errors, triage
 
 _U64 = struct.Struct("<Q")
 SCHEMA = (
@@ -71,8 +73,9 @@ def pack_blob(records) -> bytes:
 
 
 def unpack_blob(raw: bytes, check_data: bool = True):
-    """Records as dicts with error_kind (None if sound). A damaged header, whose
-    sizes can't be trusted, ends the blob; so does a blob header that fails."""
+    """Records as dicts with error_kind (None if sound). A header that fails is
+    passed over by its own sizes, where they lie inside the file; a second one
+    at once ends the blob, as does a blob header that fails."""
     if len(raw) < 20:
         yield {"error_kind": "Bincode"}
         return
@@ -80,31 +83,54 @@ def unpack_blob(raw: bytes, check_data: bool = True):
     if magic != BLOB_MAGIC or version != BLOB_VERSION:
         yield {"error_kind": "BlobMagicByte" if magic != BLOB_MAGIC else "BlobVersion"}
         return
-    at = 20
+    at, failed = 20, False
     while at < len(raw):
         try:
             magic, size = struct.unpack_from("<QQ", raw, at)
-            if magic != RECORD_MAGIC:
-                yield {"error_kind": "RecordMagicByte", "blob_offset": at}
-                return
             key = raw[at + 16 : at + 16 + size]
             end = at + 16 + size + 41
-            meta_size, data_size, flags, offset, ts, data_crc, head_crc = struct.unpack_from("<QQBQQII", raw, at + 16 + size)
-            if _crc(raw[at : end - 4] + bytes(4)) != head_crc:
-                yield {"error_kind": "RecordHeaderChecksum", "blob_offset": at}
+            wrong = "RecordMagicByte" if magic != RECORD_MAGIC else None
+            if wrong and end > len(raw):
+                yield {"error_kind": wrong, "blob_offset": at}
                 return
+            meta_size, data_size, flags, offset, ts, data_crc, head_crc = struct.unpack_from("<QQBQQII", raw, at + 16 + size)
+            if not wrong and _crc(raw[at : end - 4] + bytes(4)) != head_crc:
+                wrong = "RecordHeaderChecksum"
+            if wrong:
+                yield {"error_kind": wrong, "blob_offset": at}
+                if failed or end + meta_size + data_size > len(raw):
+                    return
+                at, failed = end + meta_size + data_size, True
+                continue
             if end + meta_size + data_size > len(raw):
                 raise struct.error("record ends early")
             meta, data = _unpack_meta(raw[end : end + meta_size]), raw[end + meta_size : end + meta_size + data_size]
         except (struct.error, UnicodeDecodeError):
             yield {"error_kind": "Bincode", "blob_offset": at}
             return
-        wrong = check_data and _crc(data) != data_crc
+        failed = False
+        bad = check_data and _crc(data) != data_crc
         yield {"key": key, "timestamp": ts, "meta": meta, "data": data, "is_deleted": bool(flags & 1), "blob_offset": at, "meta_size": meta_size, "data_size": data_size,
-               "data_checksum": data_crc, "header_checksum": head_crc, "error_kind": "RecordDataChecksum" if wrong else None}
+               "data_checksum": data_crc, "header_checksum": head_crc, "error_kind": "RecordDataChecksum" if bad else None}
         at = end + meta_size + data_size
 
 
+def recovered(raw: bytes, skip_wrong: bool = True):
+    """The sound records of a damaged blob, as (key, timestamp, meta, data,
+    is_deleted): one bad record is passed over (skip_wrong), a second at once,
+    or bytes that are no record, end the copy."""
+    failed = False
+    for r in unpack_blob(raw):
+        kind = r["error_kind"]
+        if kind is None:
+            failed = False
+            yield r["key"], r["timestamp"], r["meta"], r["data"], r["is_deleted"]
+        elif failed or not skip_wrong or kind in ("Bincode", "BlobMagicByte", "BlobVersion"):
+            return
+        else:
+            failed = True
+
+
 _COLUMNS = [c.split(" ")[0] for c in SCHEMA.replace("map<string,binary>", "map").split(", ")]
 
 
@@ -119,9 +145,9 @@ def read_blobs(spark: SparkSession, path: str, check_data: bool = True) -> DataF
     def parse(batches):
         for pdf in batches:
             for blob, raw in zip(pdf.blob_id, pdf.content):
-                rows = [{**dict.fromkeys(_COLUMNS), "blob_id": blob, "seq": (blob << 32) + n, **r} for n, r in enumerate(unpack_blob(raw, check_data))]
-                for s in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[s : s + 5000], columns=_COLUMNS).astype({c: "Int64" for c in ("timestamp", "blob_offset", "meta_size", "data_size", "data_checksum", "header_checksum")})
+                records = enumerate(unpack_blob(raw, check_data))
+                while rows := [{**dict.fromkeys(_COLUMNS), "blob_id": blob, "seq": (blob << 32) + n, **r} for n, r in islice(records, 2000)]:
+                    yield pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int64" for c in ("timestamp", "blob_offset", "meta_size", "data_size", "data_checksum", "header_checksum")})
 
     return named.mapInPandas(parse, SCHEMA)
 
@@ -151,11 +177,157 @@ def write_blobs(log: DataFrame, directory: str, prefix: str = "log") -> DataFram
         for pdf in batches:
             paths = []
             for blob, raw in zip(pdf.blob_id, pdf.content):
-                path = os.path.join(directory, f"{prefix}.{blob}.blob")
-                with open(f"{path}.{os.getpid()}", "wb") as f:
-                    f.write(raw)
-                os.replace(f"{path}.{os.getpid()}", path)
-                paths.append(path)
+                paths.append(os.path.join(directory, f"{prefix}.{blob}.blob"))
+                _save(paths[-1], raw)
             yield pd.DataFrame({"blob_id": pdf.blob_id, "path": paths, "bytes": [len(x) for x in pdf.content]})
 
     return blob_contents(log).mapInPandas(save, "blob_id long, path string, bytes long")
+
+
+def _save(path: str, raw: bytes) -> None:
+    import os
+
+    with open(f"{path}.{os.getpid()}", "wb") as f:
+        f.write(raw)
+    os.replace(f"{path}.{os.getpid()}", path)
+
+
+def _reread(path: str, records: list, every: int) -> None:
+    """Compare a written blob with what it was made of, ``every`` records at a time."""
+    with open(path, "rb") as f:
+        back = recovered(f.read(), skip_wrong=False)
+    for s in range(0, len(records), every):
+        if list(islice(back, every)) != records[s : s + every]:
+            raise OSError(f"{path}: records from {s} differ from what was written")
+    if next(back, None) is not None:
+        raise OSError(f"{path}: more records than were written")
+
+
+def recover_blobs(spark: SparkSession, source: str, target: str, validate_every: int = 0, skip_wrong: bool = True) -> DataFrame:
+    """Copy the sound records of every *.blob file of a directory to files of
+    the same names in another; (blob_id, path, records, dropped, bytes),
+    evaluated once by the caller. With validate_every the written file is read
+    again and compared, as many records at a time."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("a blob is not recovered onto itself")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.blob").load(source)
+    named = files.select(F.regexp_extract("path", r"/([^/.]+\.\d+\.blob)$", 1).alias("name"), "content").filter("name <> ''")
+
+    def copy(batches):
+        import os
+
+        for pdf in batches:
+            for name, raw in zip(pdf.name, pdf.content):
+                records = list(recovered(raw, skip_wrong))
+                path, new = os.path.join(target, name), pack_blob(records)
+                os.makedirs(target, exist_ok=True)
+                _save(path, new)
+                if validate_every:
+                    _reread(path, records, validate_every)
+                dropped = sum(r["error_kind"] is not None for r in unpack_blob(raw))
+                yield pd.DataFrame({"blob_id": [int(name.split(".")[1])], "path": [path], "records": [len(records)], "dropped": [dropped], "bytes": [len(new)]})
+
+    return named.mapInPandas(copy, "blob_id long, path string, records long, dropped long, bytes long")
+
+
+def _files(spark: SparkSession, directory: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _move(spark: SparkSession, directory: str, names: list[str], target: str) -> None:
+    fs, _ = _files(spark, directory)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(target))
+    for n in names:
+        if not fs.rename(path(directory, n), path(target, n)):
+            raise OSError(f"cannot move {n} to {target}")
+
+
+def _names(spark: SparkSession, directory: str) -> dict[int, str]:
+    """Blob files of a directory by id; names without one are passed over."""
+    fs, path = _files(spark, directory)
+    found = {}
+    for s in fs.listStatus(path) if fs.exists(path) else []:
+        parts = s.getPath().getName().split(".")
+        if len(parts) == 3 and parts[2] == "blob" and parts[1].isdigit():
+            found[int(parts[1])] = s.getPath().getName()
+    return found
+
+
+def move_and_recover(spark: SparkSession, directory: str, backup: str, validate_every: int = 0) -> list:
+    """Move a directory's blob files to another and put what can be recovered
+    of each in its place; the rows of ``recover_blobs``."""
+    _move(spark, directory, list(_names(spark, directory).values()), backup)
+    return recover_blobs(spark, backup, directory, validate_every).collect()
+
+
+def open_blobs(spark: SparkSession, directory: str, corrupted: str = "corrupted", ignore_corrupted: bool = False, check_data: bool = False) -> tuple[DataFrame, list]:
+    """(log, actions) of a directory's blobs. Damaged ones move to the directory
+    named by ``corrupted`` (under this one), or stay and are passed over if
+    ignored; a version that is not known fails unless ignored. actions: rows of
+    blob_id, error_kind and action, one a blob."""
+    records = read_blobs(spark, directory, check_data)
+    actions = triage(first_errors(records), ignore_corrupted).orderBy("blob_id").collect()
+    unknown = [r.blob_id for r in actions if r.action == "fail"]
+    if unknown:
+        raise ValueError(f"BlobVersion: blobs {unknown}")
+    names = _names(spark, directory)
+    _move(spark, directory, [names[r.blob_id] for r in actions if r.action == "quarantine"], f"{directory.rstrip('/')}/{corrupted}")
+    sound = [r.blob_id for r in actions if r.action == "open"]
+    return read_blobs(spark, directory, check_data).filter(F.col("blob_id").isin(sound) if sound else F.lit(False)), actions
+
+
+def corrupted_blobs_count(spark: SparkSession, directory: str, corrupted: str = "corrupted") -> int:
+    return len(_names(spark, f"{directory.rstrip('/')}/{corrupted}"))
+
+
+INDEX_VERSION = 1
+_HEADER = ["key", "timestamp", "seq", "is_deleted", "blob_offset", "meta_size", "data_size", "data_checksum", "header_checksum"]
+
+
+def regenerate_index(spark: SparkSession, directory: str, check_data: bool = False) -> DataFrame:
+    """The headers of all records, read from the blobs; check_data leaves out
+    records whose data fails."""
+    return read_blobs(spark, directory, check_data).filter("error_kind is null").select("blob_id", *_HEADER)
+
+
+def _digest():
+    """A checksum of a blob's headers that any order of reading gives."""
+    return F.sum(F.xxhash64(*_HEADER).cast("decimal(38,0)")).alias("digest")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Write an index by key, so that a lookup reads few row groups, and a row
+    a blob of what it was made from."""
+    ordered = index.repartitionByRange("blob_id", "key").sortWithinPartitions("blob_id", "key", F.desc("timestamp"), F.desc("seq"))
+    ordered.write.mode("overwrite").parquet(f"{path}/headers")
+    size = F.max(F.col("blob_offset") + F.octet_length("key") + 57 + F.col("meta_size") + F.col("data_size"))
+    about = index.groupBy("blob_id").agg(F.max(F.octet_length("key")).alias("key_size"), size.alias("blob_size"), F.count("*").alias("records"), _digest())
+    about.withColumn("version", F.lit(INDEX_VERSION)).write.mode("overwrite").parquet(f"{path}/blobs")
+
+
+def validate_index(spark: SparkSession, path: str, directory: str, key_size: int | None = None) -> DataFrame:
+    """(blob_id, error_kind): the first that is wrong of each blob's index:
+    version, key size, blob size, checksum of the headers, a header that the
+    blob does not hold. Sound ones have no row."""
+    about, headers = spark.read.parquet(f"{path}/blobs"), spark.read.parquet(f"{path}/headers")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.blob").load(directory).select(F.regexp_extract("path", r"/[^/.]+\.(\d+)\.blob$", 1).cast("long").alias("blob_id"), F.col("length").alias("file_size"))
+    now = headers.groupBy("blob_id").agg(_digest().alias("now"))
+    held = read_blobs(spark, directory, False).filter("error_kind is null").select("blob_id", "blob_offset", "header_checksum")
+    stray = headers.select("blob_id", "blob_offset", "header_checksum").join(held, ["blob_id", "blob_offset", "header_checksum"], "left_anti").select("blob_id").distinct().withColumn("stray", F.lit(True))
+    rows = about.join(files, "blob_id", "left").join(now, "blob_id", "left").join(stray, "blob_id", "left")
+    wrong_key = F.lit(False) if key_size is None else F.col("key_size") != key_size
+    kind = (
+        F.when(F.col("version") != INDEX_VERSION, "IndexVersion").when(wrong_key, "IndexKeySize").when(~F.col("blob_size").eqNullSafe(F.col("file_size")), "IndexBlobSize")
+        .when(~F.col("digest").eqNullSafe(F.col("now")), "IndexChecksum").when(F.col("stray"), "RecordHeaderChecksum")
+    )
+    return rows.select("blob_id", kind.alias("error_kind")).filter("error_kind is not null")
+
+
+def write_clustered(log: DataFrame, path: str, files: int | None = None) -> None:
+    """Write a log as Parquet by ranges of keys, sorted, newest first: what a key
+    needs lies in one file and few row groups, and their statistics tell.
+    ``files``: how many (by default as Spark sizes its shuffles)."""
+    ordered = (log.repartitionByRange(files, "key", "timestamp") if files else log.repartitionByRange("key", "timestamp")).sortWithinPartitions("key", F.desc("timestamp"), F.desc("blob_id"), F.desc("seq"))
+    ordered.write.mode("overwrite").parquet(path)

@@ -149,3 +149,98 @@ def test_plans(spark, sf_dir, tmp_path):
     assert "partial_max_by" in plan and "Python" not in plan
     narrow = reads.contains(stored, spark.range(3).withColumnRenamed("id", "key"))._jdf.queryExecution().executedPlan().toString()
     assert "data:binary" not in narrow.split("ReadSchema")[1]
+
+
+def test_histories_of_hot_keys(spark, monkeypatch):
+    """Versions of one key over many ranges have the ranks of one sort."""
+    from stratalog.operators import segments
+
+    rnd = random.Random(5)
+    rows = log(spark, [(0 if i % 3 else rnd.randrange(40), rnd.randrange(200), rnd.randrange(4), i, rnd.random() < 0.002) for i in range(3000)])
+    plain = {(r.key, r.seq): r["rank"] for r in reads.history_with_marker(rows).collect()}
+    monkeypatch.setattr(reads, "_ROWS", 100)
+    monkeypatch.setattr(segments, "range_count", lambda df: 16)
+    spread = reads.history_with_marker(rows)
+    assert {(r.key, r.seq): r["rank"] for r in spread.collect()} == plain
+    versions, n = {}, 0
+    for r in sorted(rows.collect(), key=lambda r: (r.key, -r.timestamp, -r.blob_id, -r.seq)):
+        if r.key not in versions or not versions[r.key]:
+            n = n + 1 if r.key in versions else 1
+            assert plain[r.key, r.seq] == n
+            versions[r.key] = r.is_deleted
+    by_blob = {(r.key, r.blob_id, r.seq): r["rank"] for r in reads.history(rows, ("blob_id", "key")).collect()}
+    assert max(by_blob.values()) > 100 and len(by_blob) > len(plain)
+
+
+@pytest.mark.parametrize("n, size, records, used", [(500, 300, 1 << 62, 20), (300, 300, 4, 20), (400, 5000, 37, 900), (3, 1000, 2, 20), (200, 20, 9, 20), (200, 10**9, 50, 20), (100, 500, 1, 20), (50, 500, 5, 480)])
+def test_rotation_is_the_sequential_fold(spark, n, size, records, used):
+    rnd = random.Random(n)
+    sizes = [rnd.choice([None, 0, 10, 60, 90, 200]) for _ in range(n)]
+    df = spark.createDataFrame([(i * 3, s) for i, s in enumerate(sizes)], "seq long, size long")
+    got = {r.seq: r.blob_id for r in segments.rotate(df, size, records, used, 1 if used > 20 else 0, buckets=7).collect()}
+    blob, held, n_held = 0, used, 1 if used > 20 else 0
+    for i, s in enumerate(sizes):
+        assert got[i * 3] == blob
+        held, n_held = held + (s or 0), n_held + 1
+        if held >= size or n_held >= records:
+            blob, held, n_held = blob + 1, 20, 0
+
+
+def test_null_data_is_an_empty_record(spark):
+    df = spark.createDataFrame([(1, None, None), (2, {"a": bytearray(b"x")}, bytearray(b"abc"))], "seq long, meta map<string,binary>, data binary")
+    assert [r[0] for r in df.select(segments.record_size(8, F.col("meta"), F.col("data"))).collect()] == [73, 73 + 18 + 3]
+
+
+def test_filter_trees(spark):
+    rows = log(spark, [(k, 1, k // 10, k, False) for k in range(0, 400, 2)])
+    tree = filters.FilterTree.of(rows, 2, 4096, group_size=4)
+    probes = spark.createDataFrame([(k,) for k in range(-5, 420)], "key long")
+    got = {r.key: r.blob_ids for r in tree.visit(probes).collect()}
+    assert all(k // 10 in got[k] for k in range(0, 400, 2)) and sum(k % 2 for k in got) < 20 and -1 not in got
+    assert len(tree) == 40 and tree.last_id() == 39 and tree.get(3).first().low == 30 and tree.last().first().blob_id == 39
+    assert list(tree.ids(reverse=True))[:2] == [39, 38] and len(tree.groups()) == 10
+    less, last = tree.pop()
+    assert len(less) == 39 and last.first().high == 398 and len(tree.remove(5)) == 39 and len(tree.clear()) == 0
+    more = less.add(rows.filter("blob_id = 39"))
+    assert {r.key: r.blob_ids for r in more.visit(probes, reverse=True).collect()} == got
+    assert {r.key for r in tree.whole().check(probes).filter("maybe").collect()} >= set(range(0, 400, 2))
+    assert tree.memory().first()[0] == 50 * 512 and filters.FilterTree.of(rows).memory().first()[0] == 0
+    with pytest.raises(ValueError):
+        tree.extend(filters.FilterTree.of(rows, 3, 4096))
+    pairs = filters.candidates(tree.ranges, probes)
+    kinds = [filters.RangeFilter(), filters.BloomFilter(2, 4096), None]
+    held = filters.checked([(k, k and k.build(rows)) for k in kinds], pairs).collect()
+    assert {(r.key, r.blob_id) for r in held} == {(r.key, r.blob_id) for r in filters.combined(pairs, tree.words, 2, 4096).collect()}
+    back = filters.bloom_from_raw(filters.bloom_to_raw(tree.words, 2, 4096))
+    assert {tuple(r) for r in back.select("blob_id", "word", "bits").collect()} == {tuple(r) for r in tree.words.select("blob_id", "word", "bits").collect()}
+    empty = filters.FilterTree.of(rows.limit(0), 2, 4096)
+    assert empty.possible(probes).count() == 0 and empty.last_id() is None and len(empty.pop()[0]) == 0
+    binary = spark.createDataFrame([(bytearray(b"k%03d" % k), k // 10) for k in range(100)], "key binary, blob_id long")
+    one = spark.createDataFrame([(bytearray(b"k042"),), (bytearray(b"zz"),)], "key binary")
+    assert [(bytes(r.key), r.blob_id) for r in filters.FilterTree.of(binary, 2, 4096).possible(one).collect()] == [(b"k042", 4)]
+
+
+def test_result_functions(spark):
+    from stratalog.functions import columns
+
+    df = spark.sql("select 'found' s, X'01' d union all select 'deleted', null union all select 'not_found', null")
+    s, d = F.col("s"), F.col("d")
+    got = df.select(s, columns.is_found(s).alias("f"), columns.is_deleted(s).alias("x"), columns.is_not_found(s).alias("n"), columns.map_found(s, d, F.hex).alias("m")).collect()
+    assert {tuple(r) for r in got} == {("found", True, False, False, "01"), ("deleted", False, True, False, None), ("not_found", False, False, True, None)}
+    assert [r[0] for r in df.filter("s <> 'found'").select(columns.cast_absent(s, "int")).collect()] == [None, None]
+    with pytest.raises(Exception, match="result is found"):
+        df.select(columns.cast_absent(s, "int")).collect()
+
+
+def test_crc32c_of_blocks():
+    from stratalog.functions import checksum
+
+    def plain(v):
+        c = 0xFFFFFFFF
+        for x in v:
+            c = int(checksum._TABLE[(c ^ x) & 255]) ^ (c >> 8)
+        return c ^ 0xFFFFFFFF
+
+    rnd = random.Random(1)
+    values = [rnd.randbytes(n) for n in (0, 1, checksum.BLOCK - 1, checksum.BLOCK, checksum.BLOCK + 1, 3 * checksum.BLOCK, 5000, 0, 10_240)]
+    assert crc32c_many(values).tolist() == [plain(v) for v in values] and len(crc32c_many([])) == 0
