@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import components, discard, materialize, spanning
 
-CELL = 1000
+CELL = 400
 BLOCK = 1024
 LINES = 32
 SEED = 20
