@@ -9,9 +9,13 @@ balls of both partners meet at a shared key. R = 3 takes thirds (131 keys in
 all), R = 6 quarters (198 keys). Keys are shuffled, the fingerprints at one key
 are compared and only links that span the groups found are kept.
 
-Where a similarity is asked for, links are verified on the texts' sets of
-shingles; so that the likeliest links are the ones looked at, each key gives a
-spanning forest of least distances.
+Where a similarity is asked for (``keep_one``), fingerprints of texts that
+have it lie farther apart than a ball can reach: at a Jaccard similarity of 0.8
+a bit differs with probability 0.15. There each text has TABLES further, shorter
+fingerprints of BITS bits, ball-hashed within two bits each, so that one of them
+brings such a pair together; pairs are then compared on the whole fingerprint
+and links verified on the texts' sets of shingles. So that the likeliest links
+are the ones verified, each key gives a spanning forest of least distances.
 """
 
 from __future__ import annotations
@@ -32,6 +36,16 @@ GROUP = 2048
 SENT = 8192
 
 
+#: Short fingerprints and their bits. Of texts of similarity 0.8, 0.85, 0.9 some
+#: two are within two bits with probability 0.87, 0.96, 0.997.
+TABLES, BITS = 10, 28
+#: Differing bits of the whole fingerprint up to which a pair is worth verifying:
+#: five standard deviations above those of a pair of similarity 0.8.
+REACH = 24
+_RND = np.random.default_rng(28)
+_MIXES = _RND.integers(0, 1 << 64, (TABLES // 2 - 1, 2), np.uint64) | np.uint64(1)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -71,8 +85,16 @@ def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _mixed(h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    h = h * by[0]
+    h = (h ^ (h >> np.uint64(32))) * by[1]
+    return h ^ (h >> np.uint64(29))
+
+
 def _print_rows(width: int, sets: bool):
-    """(id, fp, row), with ``sets`` of the distinct shingles and with their hash as node."""
+    """(id, fp, row); with ``sets`` of the distinct shingles, with their hash as
+    node and further fingerprints as more."""
 
     def run(batches):
         for whole in batches:
@@ -84,7 +106,9 @@ def _print_rows(width: int, sets: bool):
                 cols = [b.column(0), pa.array(fingerprints(hashes).view(np.int64)), b.column(2)]
                 if sets:
                     cols.append(pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in hashes], np.uint64).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "row", "node"][: len(cols)])
+                    more = np.stack([fingerprints([_mixed(h, m) for h in hashes]) for m in _MIXES], axis=1).view(np.int64)
+                    cols.append(pa.FixedSizeListArray.from_arrays(pa.array(more.ravel()), len(_MIXES)).cast(pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", "row", "node", "more"][: len(cols)])
 
     return run
 
@@ -206,26 +230,40 @@ def _block(radius: int):
     return run
 
 
-def ball_keys(radius: int) -> list[tuple[int, list[int]]]:
-    """For each pair of parts: the mask of their bits, and these bits."""
+def ball_keys(radius: int) -> list:
+    """Keys of ``fp``: for each pair of parts their bits, and these with one flipped."""
     parts = -(-(radius + 2) // 2)
     cuts = [round(64 * i / parts) for i in range(parts + 1)]
     ranges = [range(a, b) for a, b in zip(cuts, cuts[1:])]
-    kept = [[*x, *y] for x, y in combinations(ranges, 2)]
-    return [(sum(1 << i for i in bits), bits) for bits in kept]
-
-
-def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that span every group
-    of fingerprints connected by at most ``radius`` differing bits. prints is read
-    twice, to count and to send it: best a written table."""
     keys = []
-    for t, (mask, bits) in enumerate(ball_keys(radius)):
+    for t, (x, y) in enumerate(combinations(ranges, 2)):
+        bits = [*x, *y]
+        mask = sum(1 << i for i in bits)
         # the number of the pair stands where the mask has no bits
         room = [i for i in range(64) if not mask >> i & 1]
         tag = sum(1 << room[n] for n in range(8) if t >> n & 1)
         kept = F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).bitwiseXOR(F.lit(_signed(tag)).cast("long"))
         keys += [kept] + [kept.bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in bits]
+    return keys
+
+
+def short_keys() -> list:
+    """Keys of the short fingerprints, two of each 64 bits of ``fp`` and ``more``."""
+    keys = []
+    for t in range(TABLES):
+        whole = F.col("fp") if t < 2 else F.get(F.col("more"), F.lit(t // 2 - 1))
+        bits = F.shiftrightunsigned(whole, t % 2 * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+        kept = bits.bitwiseOR(F.lit(t << BITS).cast("long"))
+        keys += [kept] + [kept.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(BITS)]
+    return keys
+
+
+def near_links(prints: DataFrame, radius: int = 3, keys: list | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that span every group
+    of those that meet at a key and differ in at most ``radius`` bits; by default
+    the keys of ``fp`` itself, at which all such fingerprints meet. prints is
+    read twice, to count and to send it: best a written table."""
+    keys = keys or ball_keys(radius)
     # a row becomes well over a hundred: tasks are cut by rows, not by the bytes read
     dealt = prints.repartition(max(1, -(-prints.count() // SENT)), "fp")
     met = materialize(dealt.select(F.explode(F.array(*keys)).alias("k"), "fp").repartition("k").sortWithinPartitions("k").mapInArrow(_meet(radius), "a long, b long, hot boolean"), "met")
@@ -292,26 +330,26 @@ def _set_rows(width: int):
     return run
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one of smallest id,
     rows without id last; of rows that share an id but not the text, the one of
     smallest hash, while each of their groups keeps a row of its own.
 
-    Texts link where their fingerprints, of the distinct shingles of ``width``
-    words, differ in at most ``radius`` bits and these sets have a Jaccard
-    similarity of at least ``similarity``; of the links that join a group at a
-    key those of least distance are verified. Texts with one set are copies,
-    those without words too.
+    Texts link where one of their short fingerprints, of the distinct shingles
+    of ``width`` words, differs in at most two bits, the whole ones in at most
+    REACH, and these sets have a Jaccard similarity of at least ``similarity``;
+    of the links that join a group at a key those of least distance are
+    verified. Texts with one set are copies, those without words too.
     """
     row, kept = unused(docs, "_row"), unused(docs, "_kept")
     texts = _texts(docs, id_col, text_col)
-    prints = materialize(texts.mapInArrow(_print_rows(width, True), "id long, fp long, row long, node long"), "prints")
-    nodes = materialize(prints.groupBy("node").agg(_rep(), F.first("fp").alias("fp")), "nodes")
+    prints = materialize(texts.mapInArrow(_print_rows(width, True), "id long, fp long, row long, node long, more array<long>"), "prints")
+    nodes = materialize(prints.groupBy("node").agg(_rep(), F.first("fp").alias("fp"), F.first("more").alias("more")), "nodes")
     discard(prints)
-    by_print = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
-    links = near_links(by_print.select("fp"), radius)
+    by_print = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "more")).alias("m")).select("fp", "m.node", "m.more"), "fingerprints")
+    links = near_links(by_print.select("fp", "more"), REACH, short_keys())
     a, b = (by_print.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab")
-    twins = nodes.join(by_print.withColumnRenamed("node", "first"), "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    twins = nodes.join(by_print.select("fp", F.col("node").alias("first")), "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     pairs = materialize(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).union(twins), "pairs")
     linked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("rep.row").alias("row"))

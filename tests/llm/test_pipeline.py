@@ -4,7 +4,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratalog.llm import pii, queries, toxicity
+from stratalog.llm import pii, queries, simhash, toxicity
 from stratalog.llm.common import read
 
 
@@ -33,19 +33,32 @@ def _shingles(t, width=5):
     return frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def _print(shingles):
+def _prints(shingles):
+    """The whole fingerprint and the short ones, bit by bit."""
     h = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
-    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+    out = []
+    for mix in [None, *simhash._MIXES.tolist()]:
+        g = h
+        if mix:
+            g = [x * mix[0] % 2**64 for x in h]
+            g = [(x ^ x >> 32) * mix[1] % 2**64 for x in g]
+            g = [x ^ x >> 29 for x in g]
+        out.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in g) > len(g)))
+    return out[0], [f >> at & (1 << 28) - 1 for f in out for at in (0, 28)]
+
+
+def _meet(a, b):
+    return (a[0] ^ b[0]).bit_count() <= 24 and any((x ^ y).bit_count() <= 2 for x, y in zip(a[1], b[1]))
 
 
 def _kept(rows):
     """doc_ids that stay, and the number of rows that stay, by comparing all pairs."""
     s = [_shingles(t) for _, t in rows]
-    prints = [_print(x) for x in s]
+    prints = [_prints(x) for x in s]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if group[i] != group[j] and (prints[i] ^ prints[j]).bit_count() <= 6 and (s[i] == s[j] or len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])):
+            if group[i] != group[j] and (s[i] == s[j] or len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) and _meet(prints[i], prints[j])):
                 group = [group[j] if g == group[i] else g for g in group]
     first = {}
     for g, (i, t) in zip(group, rows):
@@ -54,7 +67,7 @@ def _kept(rows):
 
 
 def test_near_copies_by_brute_force(spark, sf_dir):
-    """Five-word shingles, six bits, Jaccard 0.8: chains of edited words, copies, rows without words or ids."""
+    """Five-word shingles, short fingerprints, Jaccard 0.8: chains of edited words, copies, rows without words or ids."""
     rnd = random.Random(3)
     words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(500)]
     texts = []
