@@ -15,8 +15,8 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies stays: SimHash of five-word
-    shingles, at most six differing bits, similarity 0.8 verified."""
-    return simhash.keep_one(docs, width=5, radius=6, similarity=0.8)
+    shingles, candidates by ball hashing, similarity 0.8 verified."""
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def replace_personal_data(spark, docs, sf_dir):
