@@ -72,45 +72,47 @@ def pack_blob(records) -> bytes:
     return bytes(out)
 
 
-def unpack_blob(raw: bytes, check_data: bool = True):
+def unpack_blob(raw, check_data: bool = True, size: int | None = None):
     """Records as dicts with error_kind (None if sound). A header that fails is
     passed over by its own sizes, where they lie inside the file; a second one
-    at once ends the blob, as does a blob header that fails."""
-    if len(raw) < 20:
+    at once ends the blob, as does a blob header that fails. raw: the bytes, or
+    a function of place and number of bytes, with the file's size."""
+    read, total = (raw, size) if size is not None else (lambda at, n: raw[at : at + n], len(raw))
+    if total < 20:
         yield {"error_kind": "Bincode"}
         return
-    magic, version, _ = struct.unpack_from("<QIQ", raw)
+    magic, version, _ = struct.unpack("<QIQ", read(0, 20))
     if magic != BLOB_MAGIC or version != BLOB_VERSION:
         yield {"error_kind": "BlobMagicByte" if magic != BLOB_MAGIC else "BlobVersion"}
         return
     at, failed = 20, False
-    while at < len(raw):
+    while at < total:
         try:
-            magic, size = struct.unpack_from("<QQ", raw, at)
-            key = raw[at + 16 : at + 16 + size]
-            end = at + 16 + size + 41
-            wrong = "RecordMagicByte" if magic != RECORD_MAGIC else None
-            if wrong and end > len(raw):
-                yield {"error_kind": wrong, "blob_offset": at}
-                return
-            meta_size, data_size, flags, offset, ts, data_crc, head_crc = struct.unpack_from("<QQBQQII", raw, at + 16 + size)
-            if not wrong and _crc(raw[at : end - 4] + bytes(4)) != head_crc:
-                wrong = "RecordHeaderChecksum"
+            magic, key_size = struct.unpack("<QQ", read(at, 16))
+            end = at + 16 + key_size + 41
+            if end > total:
+                if magic != RECORD_MAGIC:
+                    yield {"error_kind": "RecordMagicByte", "blob_offset": at}
+                    return
+                raise struct.error("header ends early")
+            head = read(at, end - at)
+            meta_size, data_size, flags, offset, ts, data_crc, head_crc = struct.unpack_from("<QQBQQII", head, 16 + key_size)
+            wrong = "RecordMagicByte" if magic != RECORD_MAGIC else "RecordHeaderChecksum" if _crc(head[:-4] + bytes(4)) != head_crc else None
             if wrong:
                 yield {"error_kind": wrong, "blob_offset": at}
-                if failed or end + meta_size + data_size > len(raw):
+                if failed or end + meta_size + data_size > total:
                     return
                 at, failed = end + meta_size + data_size, True
                 continue
-            if end + meta_size + data_size > len(raw):
+            if end + meta_size + data_size > total:
                 raise struct.error("record ends early")
-            meta, data = _unpack_meta(raw[end : end + meta_size]), raw[end + meta_size : end + meta_size + data_size]
+            meta, data = _unpack_meta(read(end, meta_size)), read(end + meta_size, data_size)
         except (struct.error, UnicodeDecodeError):
             yield {"error_kind": "Bincode", "blob_offset": at}
             return
         failed = False
         bad = check_data and _crc(data) != data_crc
-        yield {"key": key, "timestamp": ts, "meta": meta, "data": data, "is_deleted": bool(flags & 1), "blob_offset": at, "meta_size": meta_size, "data_size": data_size,
+        yield {"key": head[16 : 16 + key_size], "timestamp": ts, "meta": meta, "data": data, "is_deleted": bool(flags & 1), "blob_offset": at, "meta_size": meta_size, "data_size": data_size,
                "data_checksum": data_crc, "header_checksum": head_crc, "error_kind": "RecordDataChecksum" if bad else None}
         at = end + meta_size + data_size
 
@@ -152,6 +154,20 @@ def read_blobs(spark: SparkSession, path: str, check_data: bool = True) -> DataF
     return named.mapInPandas(parse, SCHEMA)
 
 
+def blob_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(blob_id, magic, version, flags, file_size) of the *.blob files in a
+    directory; null where a file is shorter than a header."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.blob").load(path)
+    head = F.hex(F.substring("content", 1, 20))
+
+    def number(at: int, n: int):
+        return F.conv(F.concat(*(F.substring(head, 2 * (at + i) + 1, 2) for i in range(n - 1, -1, -1))), 16, 10).cast("long")
+
+    whole = F.length("content") >= 20
+    named = files.withColumn("id", F.regexp_extract("path", r"/[^/.]+\.(\d+)\.blob$", 1)).filter("id <> ''")
+    return named.select(F.col("id").cast("long").alias("blob_id"), *(F.when(whole, number(at, n)).alias(c) for c, at, n in (("magic", 0, 8), ("version", 8, 4), ("flags", 12, 8))), F.col("length").alias("file_size"))
+
+
 def blob_contents(log: DataFrame) -> DataFrame:
     """(blob_id, content): the bytes of each blob, records by seq. A blob is one
     task's work; rotation bounds it."""

@@ -45,6 +45,21 @@ def _damaged(spark, directory):
         (directory / f"log.{n}.blob").write_bytes(bytes(raw[:-3] if n == 4 else raw))
 
 
+def test_data_source_reads_what_the_binary_source_reads(spark, tmp_path):
+    from stratalog.sources.blob_source import BlobSource
+
+    spark.dataSource.register(BlobSource)
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("record_blobs").option("path", str(tmp_path / "none")).load().count() == 0
+    _damaged(spark, tmp_path)
+    for check in ("true", "false"):
+        a = spark.read.format("record_blobs").option("path", str(tmp_path)).option("check_data", check).load()
+        b = blob_files.read_blobs(spark, str(tmp_path), check == "true")
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    heads = {r.blob_id: (r.version, r.flags) for r in blob_files.blob_headers(spark, str(tmp_path)).collect()}
+    assert heads == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (1 ^ 0x55, 0), 4: (1, 0)}
+
+
 def test_recovery_from_file_to_file(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     src.mkdir()
