@@ -8,8 +8,9 @@ the largest that such pairs miss with at most the stated probability. Pairs
 that reach it are verified by their cosine in double precision.
 
 A window of a sorted line is the difference of two prefixes of that order, as
-sets of bits; the sets of all lines are added bit by bit, 64 pairs an
-operation. So counting costs a fraction of the pair's inner product.
+sets of bits; the sets of the first lines are added bit by bit, 64 pairs an
+operation, and pairs that reach those lines' own count are counted on all
+lines. So counting costs no more than the pairs' inner products.
 
 On one line a linked pair is only a few times closer than a random one, so
 counting over all rows would compare all pairs. Vectors are first met in the
@@ -18,9 +19,9 @@ number of tables follows from K and the recall asked for, and K from the number
 of vectors, so that a cell holds about CELL vectors and the recall is the same
 at any size. A pair counts in the first table that it shares. Crowded cells
 are cut in blocks and pairs of blocks become tasks of their own. What is sent
-to the cells is a vector's number and its places on the lines, a byte each;
-vectors themselves are fetched only where some pair reaches the count. Pairs
-never leave a task, only counts by vector and spanning links do.
+to the cells is a vector's number, its cells and its places on the lines, a
+byte each; vectors themselves are fetched only where some new pair reaches the
+count. Pairs never leave a task, only counts by vector and spanning links do.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from stratalog.llm.common import components, discard, materialize, spanning
 
 CELL = 400
 BLOCK = 1024
-LINES = 32
+#: Lines whose windows are sorted, and all lines.
+FIRST, LINES = 32, 64
 SEED = 20
 #: Steps of a place within half a window; places are rounded, windows widened by one step.
 STEPS = 10
@@ -50,11 +52,16 @@ def plan(n: int, cosine: float, miss: float) -> dict:
     bits = max(0, min(30, round(math.log2(max(n, 1) / CELL))))
     tables = 1 if not bits else math.ceil(math.log(miss / 2) / math.log(1 - agree**bits))
     window = math.sqrt(2 - 2 * cosine)  # one standard deviation of a linked pair's difference
+    return {"bits": bits, "tables": tables, "window": window, "first": _least(FIRST, miss / 4), "count": _least(LINES, miss / 4)}
+
+
+def _least(lines: int, miss: float) -> int:
+    """The largest count of collisions that a linked pair misses with at most that probability."""
     p = math.erf(1 / math.sqrt(2))
     tail, count = 0.0, 0
-    while (tail := tail + math.comb(LINES, count) * p**count * (1 - p) ** (LINES - count)) <= miss / 2:
+    while (tail := tail + math.comb(lines, count) * p**count * (1 - p) ** (lines - count)) <= miss:
         count += 1
-    return {"bits": bits, "tables": tables, "window": window, "count": count}
+    return count
 
 
 def _lines(dim: int, n: int, salt: int) -> np.ndarray:
@@ -96,13 +103,20 @@ def _windows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return prefix[np.searchsorted(line, mid + (STEPS + 1), "right")] ^ prefix[np.searchsorted(line, mid - (STEPS + 1), "left")]
 
 
-def collide(a: np.ndarray, b: np.ndarray, count: int):
+def collide(a: np.ndarray, b: np.ndarray, first: int, count: int):
     """Indexes (i, j) of the pairs of a and b (places, a row a vector) that
-    collide on at least ``count`` of the LINES."""
+    collide on at least ``first`` of the FIRST lines and ``count`` of all."""
+    i, j = _collide(a, b, first)
+    keep = [(np.abs(a[i[s : s + 20_000]].astype(np.int16) - b[j[s : s + 20_000]]) <= STEPS + 1).sum(axis=1) >= count for s in range(0, len(i), 20_000)]
+    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+    return i[keep], j[keep]
+
+
+def _collide(a: np.ndarray, b: np.ndarray, count: int):
     shape = (len(a), -(-len(b) // 64))
     ones, twos, fours, high = (np.zeros(shape, np.uint64) for _ in range(4))
-    planes = [np.zeros(shape, np.uint64) for _ in range(LINES.bit_length() - 3)]  # eights and more
-    for s in range(0, LINES, 8):
+    planes = [np.zeros(shape, np.uint64) for _ in range(FIRST.bit_length() - 3)]  # eights and more
+    for s in range(0, FIRST, 8):
         w = [_windows(a[:, n], b[:, n]) for n in range(s, s + 8)]
         t1, ones = _add(ones, w[0], w[1])
         t2, ones = _add(ones, w[2], w[3])
@@ -141,8 +155,20 @@ def _packed(kind):
     return run
 
 
+def _short(codes: np.ndarray, bits: int) -> np.ndarray:
+    return codes.astype(np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32)
+
+
+def _new(codes: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs share none of the tables before t."""
+    out = np.ones(len(i), bool)
+    for c in codes[:, :t].T:
+        out &= c[i] != c[j]
+    return out
+
+
 def _coded(kind, bits, tables, window):
-    """Of vectors (node, dim, v): their cell in each table, and their places."""
+    """Of vectors (node, dim, v): their cell in each table, all of these, and their places."""
 
     def run(batches):
         for whole in batches:
@@ -153,10 +179,11 @@ def _coded(kind, bits, tables, window):
                     part = b.filter(pa.array(dims == d))
                     x = _unit(part.column(2).to_pylist(), kind)
                     at = np.repeat(np.arange(len(x)), tables)
-                    where = pa.array([p.tobytes() for p in places(x, window)], pa.binary())
+                    codes = _codes(x, bits, tables)
+                    where, all_ = (pa.array([r.tobytes() for r in m], pa.binary()) for m in (places(x, window), _short(codes, bits)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(_codes(x, bits, tables).ravel()), *(c.take(pa.array(at)) for c in (part.column(1), part.column(0), where))],
-                        names=["t", "code", "dim", "node", "places"],
+                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(codes.ravel()), *(c.take(pa.array(at)) for c in (part.column(1), part.column(0), where, all_))],
+                        names=["t", "code", "dim", "node", "places", "codes"],
                     )
 
     return run
@@ -168,45 +195,44 @@ def _sides(pdf: pd.DataFrame, one: bool):
     return first, first if one else np.flatnonzero(side == 1)
 
 
-def _candidates(count):
-    """The vectors of two blocks that reach the count with some other."""
+def _candidates(bits, tables, window, first, count):
+    """The vectors of two blocks that reach the count with some other, for the first time."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = _sides(pdf, key[3] == key[4])
+        one, other = _sides(pdf, key[3] == key[4])
         hit = np.zeros(len(pdf), bool)
-        if len(first) and len(second):
+        if len(one) and len(other):
             at = np.frombuffer(b"".join(pdf.places), np.int8).reshape(len(pdf), -1)
-            i, j = collide(at[first], at[second], count)
-            i, j = first[i], second[j]
-            hit[i[i != j]] = hit[j[i != j]] = True
+            codes = np.frombuffer(b"".join(pdf.codes), _short(np.zeros(0), bits).dtype).reshape(len(pdf), -1)
+            i, j = collide(at[one], at[other], first, count)
+            i, j = one[i], other[j]
+            new = (i != j) & _new(codes, key[0], i, j)
+            hit[i[new]] = hit[j[new]] = True
         return pdf.loc[hit, ["t", "code", "dim", "p", "q", "side", "node"]]
 
     return run
 
 
-def _compare(kind, cosine, bits, tables, window, count):
+def _compare(kind, cosine, bits, tables, window, first, count):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, one = key[0], key[3] == key[4]
-        first, second = _sides(pdf, one)
+        t, same = key[0], key[3] == key[4]
+        one, other = _sides(pdf, same)
         nodes, n = pdf.node.to_numpy(), pdf.n.to_numpy()
         empty = pd.DataFrame({"a": nodes[:0], "b": nodes[:0], "n": n[:0]})
-        if not len(first) or not len(second):
+        if not len(one) or not len(other):
             return empty
         x = _unit(list(pdf.v), kind)
         at = places(x, window)
-        i, j = collide(at[first], at[second], count)
-        i, j = first[i], second[j]
-        if one:
+        i, j = collide(at[one], at[other], first, count)
+        i, j = one[i], other[j]
+        if same:
             i, j = i[i < j], j[i < j]
         near = np.empty(len(i), bool)
         for s in range(0, len(i), 50_000):
             near[s : s + 50_000] = np.einsum("ij,ij->i", x[i[s : s + 50_000]], x[j[s : s + 50_000]]) >= cosine
         i, j = i[near], j[near]
         if t and len(i):
-            code = _codes(x, bits, tables)[:, :t]
-            new = np.ones(len(i), bool)
-            for c in code.T:
-                new &= c[i] != c[j]
+            new = _new(_codes(x, bits, tables), t, i, j)
             i, j = i[new], j[new]
         if not len(i):
             return empty
@@ -240,12 +266,12 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     able = packed.filter("v is not null")
     distinct = materialize(able.groupBy("dim", "v").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.count("*").alias("n")).select("node", "dim", "v", "id", "n"), "distinct")
     how = plan(distinct.count(), cosine, miss)
-    coded = distinct.select("node", "dim", "v").mapInArrow(_coded(kind, how["bits"], how["tables"], how["window"]), "t int, code long, dim int, node long, places binary")
+    coded = distinct.select("node", "dim", "v").mapInArrow(_coded(kind, how["bits"], how["tables"], how["window"]), "t int, code long, dim int, node long, places binary, codes binary")
     crowd = coded.groupBy("t", "code", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("s"))
     cut = coded.join(crowd, ["t", "code", "dim"]).withColumn("i", F.pmod(F.xxhash64("node"), "s").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    sides = cut.select("t", "code", "dim", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"), "node", "places")
+    sides = cut.select("t", "code", "dim", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("side"), "node", "places", "codes")
     cell = ["t", "code", "dim", "p", "q"]
-    some = materialize(sides.groupBy(*cell).applyInPandas(_candidates(how["count"]), "t int, code long, dim int, p int, q int, side int, node long"), "candidates")
+    some = materialize(sides.groupBy(*cell).applyInPandas(_candidates(**how), "t int, code long, dim int, p int, q int, side int, node long"), "candidates")
     fetched = some.join(distinct.select("node", "v", "n"), "node")
     found = materialize(fetched.groupBy(*cell).applyInPandas(_compare(kind, cosine, **how), "a long, b long, n long"), "found")
     counts = found.groupBy("a").agg(F.sum("n").alias("linked"))

@@ -164,10 +164,11 @@ def test_collisions_by_brute_force():
     rnd = np.random.default_rng(4)
     for n, m in ((1, 1), (70, 130), (64, 64), (5, 200)):
         a, b = (rnd.integers(-127, 128, (k, embed_dedup.LINES)).astype(np.int8) // 4 for k in (n, m))
-        near = (np.abs(a[:, None].astype(int) - b[None]) <= embed_dedup.STEPS + 1).sum(axis=2)
-        for count in (1, 10, 13, 20, 32):
-            i, j = embed_dedup.collide(a, b, count)
-            assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near >= count))))
+        near = np.abs(a[:, None].astype(int) - b[None]) <= embed_dedup.STEPS + 1
+        few, all_ = near[..., : embed_dedup.FIRST].sum(axis=2), near.sum(axis=2)
+        for first, count in ((1, 1), (10, 22), (13, 20), (20, 45), (32, 64)):
+            i, j = embed_dedup.collide(a, b, first, count)
+            assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero((few >= first) & (all_ >= count)))))
 
 
 def test_top_k_by_brute_force(spark, vectors, monkeypatch):
