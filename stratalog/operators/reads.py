@@ -41,13 +41,13 @@ def contains(log: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.select("key").join(newest(log), "key", "left").select("key", status(F.col("is_deleted")).alias("status"), "timestamp")
 
 
-def _spread(log: DataFrame, by: list[str]) -> Column | None:
+def spread(log: DataFrame, by: list[str], version: tuple[str, ...] = VERSION) -> Column | None:
     """The number of each row's range in the order of keys and, within a key,
     of versions: a key with very many versions lies in several. The ranges' ends
-    come from a sample of at most some ten thousand rows."""
+    come from a sample of at most some ten thousand rows. None if one range will do."""
     from stratalog.operators import segments
 
-    order = F.struct(*by, *VERSION)
+    order = F.struct(*by, *version)
     n = log.count()
     parts = min(segments.range_count(log), -(-n // _ROWS))
     if parts <= 1:
@@ -55,7 +55,7 @@ def _spread(log: DataFrame, by: list[str]) -> Column | None:
     ends = sorted((r[0] for r in log.select(order.alias("o")).sample(min(1.0, 100 * parts / n), seed=1).limit(200 * parts).collect()), key=lambda o: tuple(bytes(x) if isinstance(x, bytearray) else x for x in o))
     step = max(1, len(ends) // parts)
     types = [f.dataType for f in log.select(order.alias("o")).schema["o"].dataType.fields]
-    cuts = [F.struct(*(F.lit(x).cast(t).alias(name) for x, t, name in zip(e, types, [*by, *VERSION]))) for e in ends[step::step]]
+    cuts = [F.struct(*(F.lit(x).cast(t).alias(name) for x, t, name in zip(e, types, [*by, *version]))) for e in ends[step::step]]
     if not cuts:
         return None
     held, steps = F.array(*cuts), [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
@@ -73,7 +73,7 @@ def history_with_marker(log: DataFrame, by: tuple[str, ...] = ("key",)) -> DataF
     by = list(by)
     stone = log.filter("is_deleted").groupBy(*by).agg(F.max(F.struct(*VERSION)).alias("_stone"))
     rows = log.join(stone, by, "left").filter(F.col("_stone").isNull() | (F.struct(*VERSION) >= F.col("_stone"))).drop("_stone").select(*log.columns)
-    part = _spread(log, by)
+    part = spread(log, by)
     if part is None:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*(F.desc(c) for c in VERSION))))
     rows = rows.withColumn("_b", part)

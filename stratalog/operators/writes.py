@@ -7,21 +7,33 @@ meta. Inserts of a key that is present are silently dropped, as are deletes
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.columns import meta_canon
-from stratalog.operators.reads import newest
+from stratalog.operators.reads import newest, spread
+
+
+def _before(ops: DataFrame) -> DataFrame:
+    """ops with ``_g``: whether the operation before on the key is a delete
+    (null: none). Keys with very many operations are cut in ranges; the last
+    operation of each range is known from an aggregation."""
+    part = spread(ops, ["key"], ("seq",))
+    if part is None:
+        return ops.withColumn("_g", F.lag("is_deleted").over(Window.partitionBy("key").orderBy("seq")))
+    rows = ops.withColumn("_b", part)
+    last = rows.groupBy("key", "_b").agg(F.max_by("is_deleted", "seq").alias("_l"))
+    carried = last.select("key", "_b", F.lag("_l").over(Window.partitionBy("key").orderBy("_b")).alias("_c")).filter("_c is not null")
+    inside = rows.withColumn("_g", F.lag("is_deleted").over(Window.partitionBy("key", "_b").orderBy("seq")))
+    return inside.join(carried, ["key", "_b"], "left").withColumn("_g", F.coalesce("_g", "_c")).drop("_b", "_c")
 
 
 def insert_monotone(ops: DataFrame, only_if_presented: bool = False) -> DataFrame:
     """Operations that are written when timestamps never fall in seq order: a
     put after nothing or a delete; a delete always, or after a put only."""
-    before = F.lag("is_deleted").over(Window.partitionBy("key").orderBy("seq"))
-    put = ~F.col("is_deleted") & F.coalesce(before, F.lit(True))
-    delete = F.col("is_deleted") & (F.coalesce(~before, F.lit(False)) if only_if_presented else F.lit(True))
-    return ops.withColumn("_kept", put | delete).filter("_kept").drop("_kept")
+    put = ~F.col("is_deleted") & F.coalesce("_g", F.lit(True))
+    delete = F.col("is_deleted") & (F.coalesce(~F.col("_g"), F.lit(False)) if only_if_presented else F.lit(True))
+    return _before(ops).filter(put | delete).select(*ops.columns)
 
 
 def insert_first_by_meta(ops: DataFrame) -> DataFrame:
@@ -33,25 +45,32 @@ def insert_first_by_meta(ops: DataFrame) -> DataFrame:
 
 
 def _fold(only_if_presented: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        best, kept = None, []
-        for ts, seq, gone in zip(pdf.timestamp, pdf.seq, pdf.is_deleted):
-            present = best is not None and not best[2]
-            write = (present or not only_if_presented) if gone else not present
-            kept.append(write)
-            if write and (best is None or (ts, seq) >= best[:2]):
-                best = (ts, seq, gone)
-        return pdf[kept]
+    """Over operations sorted by key and seq: those written. One key's state is held."""
+
+    def run(pdfs):
+        key, best = None, None
+        for pdf in pdfs:
+            kept = []
+            for k, ts, seq, gone in zip(pdf.key, pdf.timestamp, pdf.seq, pdf.is_deleted):
+                if k != key:
+                    key, best = k, None
+                present = best is not None and not best[2]
+                write = (present or not only_if_presented) if gone else not present
+                kept.append(write)
+                if write and (best is None or (ts, seq) >= best[:2]):
+                    best = (ts, seq, gone)
+            yield pdf.loc[kept, ["key", "seq"]]
 
     return run
 
 
 def insert_any_order(ops: DataFrame, only_if_presented: bool = False) -> DataFrame:
     """``insert_monotone`` for timestamps in any order: whether a put is written
-    depends on all writes before it, so each key is folded in sequence."""
-    narrow = ops.select("key", "timestamp", "seq", "is_deleted")
-    kept = narrow.groupBy("key").applyInPandas(_fold(only_if_presented), narrow.schema).select("key", "seq")
+    depends on all writes before it, so each key is folded in sequence, a batch
+    at a time."""
+    narrow = ops.select("key", "timestamp", "seq", "is_deleted").repartition("key").sortWithinPartitions("key", "seq")
+    kind = ops.schema["key"].dataType.simpleString()
+    kept = narrow.mapInPandas(_fold(only_if_presented), f"key {kind}, seq {ops.schema['seq'].dataType.simpleString()}")
     return ops.join(kept, ["key", "seq"], "left_semi")
 
 

@@ -83,9 +83,24 @@ def test_fold_equals_lag_rule_for_rising_time(spark):
     rows = log(spark, [(rnd.randrange(20), t, 0, t, rnd.random() < 0.3) for t in range(400)])
     for flag in (False, True):
         a, b = writes.insert_monotone(rows, flag), writes.insert_any_order(rows, flag)
-        if not flag:
-            assert sorted(r.seq for r in a.collect()) == sorted(r.seq for r in b.collect())
-        assert b.count() <= 400
+        assert sorted(r.seq for r in a.collect()) == sorted(r.seq for r in b.collect())
+
+
+def test_inserts_of_hot_keys(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = log(spark, [(0 if t % 3 else rnd.randrange(30), t, 0, t, rnd.random() < 0.4) for t in range(2000)])
+    plain = [sorted(r.seq for r in writes.insert_monotone(rows, flag).collect()) for flag in (False, True)]
+    monkeypatch.setattr(reads, "_ROWS", 100)
+    monkeypatch.setattr(segments, "range_count", lambda df: 16)
+    assert [sorted(r.seq for r in writes.insert_monotone(rows, flag).collect()) for flag in (False, True)] == plain
+    state, want = {}, [[], []]
+    for r in sorted(rows.collect(), key=lambda r: r.seq):
+        present = state.get(r.key, False)
+        for w, flag in zip(want, (False, True)):
+            if (present or not flag) if r.is_deleted else not present:
+                w.append(r.seq)
+        state[r.key] = not r.is_deleted
+    assert plain == want and writes.insert_monotone(rows).columns == rows.columns
 
 
 def test_insert_into_and_delete_plan(spark):
