@@ -303,7 +303,8 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
         r = F.col(roles_)
         words = F.array_distinct(F.transform(r, lambda p: p.key))
         roles = F.map_from_entries(F.transform(words, lambda w: F.struct(w.alias("key"), F.filter(r, lambda p: p.key == w)[0]["value"].alias("value"))))
-        alone = F.concat(F.lit(names.any + r"|(?=\p{Lu})(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        longest_first = F.sort_array(words, asc=False)  # of words that begin alike
+        alone = F.concat(F.lit(names.any + r"|(?=\p{Lu})(?<![\p{L}\p{N}])(?:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{N}])"))
         df = df.withColumn(pattern_, F.when(F.size(r) > 0, alone).otherwise(F.lit(names.any))).withColumn(roles_, F.when(F.size(r) > 0, roles).otherwise(no_roles))
         found = F.when(text.rlike(names.hint), F.regexp_extract_all(text, F.col(pattern_), F.lit(0))).otherwise(none)
         return df.withColumn(found_, entities(found, F.col(roles_), names))
