@@ -39,9 +39,10 @@ SENT = 8192
 #: Short fingerprints and their bits. Of texts of similarity 0.8, 0.85, 0.9 some
 #: two are within two bits with probability 0.87, 0.96, 0.997.
 TABLES, BITS = 10, 28
-#: Differing bits of the whole fingerprint up to which a pair is worth verifying:
-#: five standard deviations above those of a pair of similarity 0.8.
-REACH = 24
+#: Differing bits of the whole fingerprint, and of all fingerprints together, up
+#: to which a pair is worth verifying: five and four standard deviations above
+#: those of a pair of similarity 0.8.
+REACH, REACH_ALL = 24, 74
 _RND = np.random.default_rng(28)
 _MIXES = _RND.integers(0, 1 << 64, (TABLES // 2 - 1, 2), np.uint64) | np.uint64(1)
 
@@ -337,7 +338,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Texts link where one of their short fingerprints, of the distinct shingles
     of ``width`` words, differs in at most two bits, the whole ones in at most
-    REACH, and these sets have a Jaccard similarity of at least ``similarity``;
+    REACH and all in at most REACH_ALL, and these sets have a Jaccard similarity of at least ``similarity``;
     of the links that join a group at a key those of least distance are
     verified. Texts with one set are copies, those without words too.
     """
@@ -348,9 +349,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     discard(prints)
     by_print = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "more")).alias("m")).select("fp", "m.node", "m.more"), "fingerprints")
     links = near_links(by_print.select("fp", "more"), REACH, short_keys())
-    a, b = (by_print.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab")
+    a, b = (by_print.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"), F.col("more").alias(f"m{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), lambda n, m: n + m)
     twins = nodes.join(by_print.select("fp", F.col("node").alias("first")), "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    pairs = materialize(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).union(twins), "pairs")
+    pairs = materialize(links.join(a, "a").join(b, "b").filter(apart <= REACH_ALL).select(F.col("na").alias("a"), F.col("nb").alias("b")).union(twins), "pairs")
     linked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(linked, "node", "left_semi").select("node", F.col("rep.row").alias("row"))
     sets = materialize(texts.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_set_rows(width), "node long, s array<long>").dropDuplicates(["node"]), "sets")

@@ -122,14 +122,14 @@ def bloom_to_raw(words: DataFrame, hashers: int, bits: int, by: str = "blob_id")
 
 def bloom_from_raw(raw: DataFrame, by: str = "blob_id") -> DataFrame:
     """(blob_id, hashers, filter_bits, word, bits) of ``bloom_to_raw``."""
-    hexed = raw.select(by, F.hex("raw").alias("h"))
 
     def number(at):
-        return F.conv(F.substring(F.col("h"), at, F.lit(16)), 16, -10).cast("long")
+        return F.conv(F.hex(F.substring(F.col("raw"), at, F.lit(8))), 16, -10).cast("long")
 
-    n = (F.length("h") / 32).cast("int") - 1
-    rows = hexed.filter(n > 0).select(by, "h", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    return rows.select(by, number(F.lit(1)).alias("hashers"), number(F.lit(17)).alias("filter_bits"), number(F.col("i") * 32 + 1).alias("word"), number(F.col("i") * 32 + 17).alias("bits"))
+    n = (F.length("raw") / 16).cast("int") - 1
+    words = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(number(i * 16 + 1).alias("word"), number(i * 16 + 9).alias("bits")))
+    rows = raw.filter(n > 0).select(by, number(F.lit(1)).alias("hashers"), number(F.lit(9)).alias("filter_bits"), F.explode(words).alias("w"))
+    return rows.select(by, "hashers", "filter_bits", "w.word", "w.bits")
 
 
 def combined(range_hits: DataFrame, words: DataFrame | None, hashers: int = 0, bits: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from stratalog.functions.columns import meta_canon, status
 
 VERSION = ("timestamp", "blob_id", "seq")
 #: Rows that one range of a history holds about.
-_ROWS = 100_000
+_ROWS = 1_000_000
 
 
 def newest(log: DataFrame, *columns: str) -> DataFrame:
