@@ -44,11 +44,11 @@ def _prints(shingles):
             g = [(x ^ x >> 32) * mix[1] % 2**64 for x in g]
             g = [x ^ x >> 29 for x in g]
         out.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in g) > len(g)))
-    return out[0], [f >> at & (1 << 28) - 1 for f in out for at in (0, 28)]
+    return out, [f >> at & (1 << 28) - 1 for f in out for at in (0, 28)]
 
 
 def _meet(a, b):
-    return (a[0] ^ b[0]).bit_count() <= 24 and any((x ^ y).bit_count() <= 2 for x, y in zip(a[1], b[1]))
+    return (a[0][0] ^ b[0][0]).bit_count() <= 24 and sum((x ^ y).bit_count() for x, y in zip(a[0], b[0])) <= 74 and any((x ^ y).bit_count() <= 2 for x, y in zip(a[1], b[1]))
 
 
 def _kept(rows):
