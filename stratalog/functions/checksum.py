@@ -67,6 +67,19 @@ def crc32c_many(values: list[bytes]) -> np.ndarray:
     return out ^ np.uint32(0xFFFFFFFF)
 
 
+_PLAIN = _TABLE.tolist()
+
+
+def crc32c_one(value: bytes) -> int:
+    """Checksum of one value: short ones byte by byte."""
+    if len(value) > BLOCK:
+        return int(crc32c_many([value])[0])
+    c = 0xFFFFFFFF
+    for x in value:
+        c = _PLAIN[(c ^ x) & 0xFF] ^ (c >> 8)
+    return c ^ 0xFFFFFFFF
+
+
 @pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """Unsigned checksum; null for null."""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.functions.checksum import crc32c_many
+from stratalog.functions.checksum import crc32c_one
 from stratalog.operators.integrity import BLOB_MAGIC, BLOB_VERSION, RECORD_MAGIC, first_errors, triage
 
 _U64 = struct.Struct("<Q")
@@ -32,10 +32,6 @@ SCHEMA = (
 )
 
 
-def _crc(x: bytes) -> int:
-    return int(crc32c_many([x])[0])
-
-
 def pack_meta(meta: dict) -> bytes:
     out = [_U64.pack(len(meta))]
     for k, v in meta.items():
@@ -60,8 +56,8 @@ def _unpack_meta(raw: bytes) -> dict:
 
 def pack_record(key: bytes, timestamp: int, meta: dict, data: bytes, is_deleted: bool, offset: int) -> bytes:
     m = pack_meta(meta)
-    head = _U64.pack(RECORD_MAGIC) + _U64.pack(len(key)) + key + struct.pack("<QQBQQI", len(m), len(data), int(is_deleted), offset, timestamp, _crc(data))
-    return head + struct.pack("<I", _crc(head + bytes(4))) + m + data
+    head = _U64.pack(RECORD_MAGIC) + _U64.pack(len(key)) + key + struct.pack("<QQBQQI", len(m), len(data), int(is_deleted), offset, timestamp, crc32c_one(data))
+    return head + struct.pack("<I", crc32c_one(head + bytes(4))) + m + data
 
 
 def pack_blob(records) -> bytes:
@@ -97,7 +93,7 @@ def unpack_blob(raw, check_data: bool = True, size: int | None = None):
                 raise struct.error("header ends early")
             head = read(at, end - at)
             meta_size, data_size, flags, offset, ts, data_crc, head_crc = struct.unpack_from("<QQBQQII", head, 16 + key_size)
-            wrong = "RecordMagicByte" if magic != RECORD_MAGIC else "RecordHeaderChecksum" if _crc(head[:-4] + bytes(4)) != head_crc else None
+            wrong = "RecordMagicByte" if magic != RECORD_MAGIC else "RecordHeaderChecksum" if crc32c_one(head[:-4] + bytes(4)) != head_crc else None
             if wrong:
                 yield {"error_kind": wrong, "blob_offset": at}
                 if failed or end + meta_size + data_size > total:
@@ -111,7 +107,7 @@ def unpack_blob(raw, check_data: bool = True, size: int | None = None):
             yield {"error_kind": "Bincode", "blob_offset": at}
             return
         failed = False
-        bad = check_data and _crc(data) != data_crc
+        bad = check_data and crc32c_one(data) != data_crc
         yield {"key": head[16 : 16 + key_size], "timestamp": ts, "meta": meta, "data": data, "is_deleted": bool(flags & 1), "blob_offset": at, "meta_size": meta_size, "data_size": data_size,
                "data_checksum": data_crc, "header_checksum": head_crc, "error_kind": "RecordDataChecksum" if bad else None}
         at = end + meta_size + data_size
@@ -144,6 +140,12 @@ def read_blobs(spark: SparkSession, path: str, check_data: bool = True) -> DataF
     blob_id = F.regexp_extract("path", r"/[^/.]+\.(\d+)\.blob$", 1)
     named = files.select(blob_id.alias("id"), "content").filter("id <> ''").select(F.col("id").cast("long").alias("blob_id"), "content")
 
+    return parse_blobs(named, check_data)
+
+
+def parse_blobs(contents: DataFrame, check_data: bool = True) -> DataFrame:
+    """All records of blobs (blob_id, content), as ``read_blobs`` gives them."""
+
     def parse(batches):
         for pdf in batches:
             for blob, raw in zip(pdf.blob_id, pdf.content):
@@ -151,7 +153,17 @@ def read_blobs(spark: SparkSession, path: str, check_data: bool = True) -> DataF
                 while rows := [{**dict.fromkeys(_COLUMNS), "blob_id": blob, "seq": (blob << 32) + n, **r} for n, r in islice(records, 2000)]:
                     yield pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int64" for c in ("timestamp", "blob_offset", "meta_size", "data_size", "data_checksum", "header_checksum")})
 
-    return named.mapInPandas(parse, SCHEMA)
+    return contents.select("blob_id", "content").mapInPandas(parse, SCHEMA)
+
+
+def recover_contents(contents: DataFrame, skip_wrong: bool = True) -> DataFrame:
+    """(blob_id, content) of the sound records of blobs (blob_id, content)."""
+
+    def copy(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"blob_id": pdf.blob_id, "content": [pack_blob(recovered(raw, skip_wrong)) for raw in pdf.content]})
+
+    return contents.select("blob_id", "content").mapInPandas(copy, "blob_id long, content binary")
 
 
 def blob_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -305,7 +317,11 @@ _HEADER = ["key", "timestamp", "seq", "is_deleted", "blob_offset", "meta_size",
 def regenerate_index(spark: SparkSession, directory: str, check_data: bool = False) -> DataFrame:
     """The headers of all records, read from the blobs; check_data leaves out
     records whose data fails."""
-    return read_blobs(spark, directory, check_data).filter("error_kind is null").select("blob_id", *_HEADER)
+    return headers_of(read_blobs(spark, directory, check_data))
+
+
+def headers_of(records: DataFrame) -> DataFrame:
+    return records.filter("error_kind is null").select("blob_id", *_HEADER)
 
 
 def _digest():
