@@ -52,7 +52,7 @@ def hash_(w: str) -> int:
 def perplexity(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    for items, classes, rounds in ((1024, 48, 1), (256, 48, 1), (1024, 16, 1), (1024, 128, 1), (1024, 48, 0), (1024, 48, 3)):
+    for items, classes, rounds in ((1024, 64, 1), (1024, 48, 1), (256, 48, 1), (1024, 16, 1), (1024, 128, 1), (1024, 48, 0), (1024, 48, 3)):
         began = time.time()
         scored, model, v = brown.fit_and_score(docs, held_out, items=items, classes=classes, rounds=rounds)
         n, b, s = scored.filter("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
