@@ -162,6 +162,21 @@ def test_differencing_decides_outside_the_article(spark):
     assert states("<div class='page has-sidebar'><main>Text</main><div>Side</div></div>") == [("Text", html.OPEN), ("Side", html.FRAME)]
 
 
+def test_differencing_reaches_into_articles(spark):
+    """Lines that most articles of a host share are frame; passages of some, headings and versions of one article stay."""
+    page = "<nav>Menu</nav><article><p>Share this</p><h1>Title {0}</h1><h2>Summary</h2><p>Body of {0}</p>{1}<p>Write to us</p></article>"
+    passage = "<p>A passage</p>"
+    rows = [(i, f"http://f.org/{i}", page.format(i, passage if i in (2, 3) else "")) for i in range(6)]
+    rows += [(10 + i, f"http://few.org/{i}", page.format(i, passage)) for i in range(4)]
+    rows += [(20 + i, f"http://version.org/{i}", "<article>" + "".join(f"<p>Paragraph {k}</p>" for k in range(9)) + f"<p>Version {i}</p></article>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Title {i}\nSummary\nBody of {i}" + "\nA passage" * (i in (2, 3)) for i in range(6)}
+    want |= {10 + i: f"Share this\nTitle {i}\nSummary\nBody of {i}\nA passage\nWrite to us" for i in range(4)}
+    want |= {20 + i: "\n".join([*(f"Paragraph {k}" for k in range(9)), f"Version {i}"]) for i in range(6)}
+    for parts in (1, 5):
+        assert {r.page_id: r.text for r in html.extract(df.repartition(parts)).collect()} == want
+
+
 def test_copies_are_not_neighbours(spark):
     plain = "<p>Shared line</p><p>{}</p><p>Bottom</p>"
     rows = [(1, "http://c.org/a", plain.format("one")), (1, "http://c.org/a", plain.format("one")), (2, "http://c.org/b", "<nav>x</nav>" + plain.format("one")), (3, "http://c.org/c", "<nav>x</nav>")]
