@@ -56,8 +56,7 @@ def perplexity(spark, sf):
         began = time.time()
         scored, model, v = brown.fit_and_score(docs, held_out, items=items, classes=classes, rounds=rounds)
         n, b, s = scored.filter("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
-        own = int((v.counts[items + 1 :] >= brown.SEEN).sum()) if rounds else 0
-        print(f"perplexity: items {items}, classes {classes}, rounds {rounds} (words clustered {min(items, len(v.words)) + own}): {10 ** (-s / n):.0f}, unigram base {10 ** (-b / n):.0f}; {time.time() - began:.0f} s", flush=True)
+        print(f"perplexity: items {items}, classes {classes}, rounds {rounds} (words clustered {v.distinct - 1 if rounds else min(items, len(v.words) - 1)}): {10 ** (-s / n):.0f}, unigram base {10 ** (-b / n):.0f}; {time.time() - began:.0f} s", flush=True)
 
 
 def copies(spark, sf):

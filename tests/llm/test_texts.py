@@ -449,6 +449,83 @@ def test_every_seen_word_is_clustered(spark):
     assert model.size.sum() == model.total
 
 
+def test_words_beyond_the_frequent_ones_are_clustered(spark):
+    """However few words are numbered, every training word gets the best class for
+    its contexts, one at a time against the numbered ones' classes."""
+    import numpy as np
+
+    rnd = random.Random(8)
+    words = [f"v{i}" for i in range(300)]
+    texts = [" ".join(rnd.choices(words, [1 / (i + 2) for i in range(300)], k=rnd.randrange(1, 40))) for _ in range(300)] + ["z" * 300 + " v1 " + "z" * 300] * 3 + ["new v0", None]
+    held = lambda i: i % 10 == 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    at, classes = {"items": 10, "suffixes": 6, "classes": 6, "frequent": 40}, 6
+    scored, model, v = brown.fit_and_score(df, F.col("doc_id") % 10 == 0, **at)
+    got = {r.id: r.score for r in scored.collect()}
+    number = v.number()
+    toks = [(t or "").encode().lower().split() + [b""] for t in texts]
+    train = [t for i, t in enumerate(toks) if not held(i)]
+    c = Counter(w for t in train for w in t)
+    assert len(v.words) <= 40 < len(c)
+    cls = {w: int(model.cls[number.get(w, v.group(w) if w not in number else 0)]) for t in toks for w in t}
+    g = np.zeros((classes, classes))
+    for t in train:
+        for a, b in zip([b"", *t], t):
+            g[cls[a], cls[b]] += 1
+    best = dict(cls)
+    for w in c:
+        if w in number:
+            continue
+        r, l, s, k = np.zeros(classes), np.zeros(classes), 0, cls[w]
+        for t in train:
+            for a, b in zip([b"", *t], t):
+                s += a == b == w
+                r[cls[b]] += a == w != b
+                l[cls[a]] += b == w != a
+        h = g.copy()
+        h[k, :] -= r
+        h[:, k] -= l
+        h[k, k] -= s
+        best[w] = brown._best(h, k, r, l, s)
+    moved = [w for w in c if w not in number and best[w] != cls[w]]
+    assert len(moved) > 100 and b"z" * 300 in c
+    for k in range(classes):
+        assert model.size[k] == sum(n for w, n in c.items() if best[w] == k) and model.kinds[k] == sum(best[w] == k for w in c)
+    final = Counter((best[a], best[b]) for t in train for a, b in zip([b"", *t], t))
+    for a in range(classes):
+        for b in range(classes):
+            assert 10 ** model.step[a, b] == pytest.approx((final[a, b] + 0.5) / (sum(final[a, x] for x in range(classes)) + 0.5 * classes))
+    for i, t in enumerate(toks):
+        assert got[i] == pytest.approx(sum(model.step[best[a], best[b]] + math.log10((c[b] + 0.1) / (model.size[best[b]] + 0.1 * (model.kinds[best[b]] + 1))) for a, b in zip([b"", *t], t)))
+    without = brown.fit_and_score(df, F.col("doc_id") % 10 == 0, **at, rounds=0)[1]
+    assert all(without.size[k] == sum(n for w, n in c.items() if without.cls[number.get(w, v.group(w) if w not in number else 0)] == k) for k in range(classes))
+
+
+def test_moves_of_many_words_equal_single_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    classes, n = 7, 200
+    own = rng.integers(0, classes, n)
+    dense = rng.poisson(0.4, (n, 2 * classes + 1))
+    g = rng.integers(0, 30, (classes, classes)).astype(float)
+    for w in range(n):  # the bigrams hold every word
+        r, l, s = dense[w, :classes], dense[w, classes:-1], dense[w, -1]
+        g[own[w], :] += r
+        g[:, own[w]] += l
+        g[own[w], own[w]] += s
+    word, slot = np.nonzero(dense)
+    got = brown._best_of(g, word, slot, dense[word, slot], own)
+    for w in range(n):
+        r, l, s, a = dense[w, :classes].astype(float), dense[w, classes:-1].astype(float), float(dense[w, -1]), int(own[w])
+        h = g.copy()
+        h[a, :] -= r
+        h[:, a] -= l
+        h[a, a] -= s
+        assert got[w] == brown._best(h, a, r, l, s)
+    assert (got != own).sum() > 50
+
+
 def test_exchange_finds_planted_classes():
     rnd = random.Random(1)
     import numpy as np
