@@ -195,7 +195,8 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, suffixes: int = SUFFIXES, frequent: int = FREQUENT) -> Vocabulary:
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    short = counts.filter((F.length("word") <= 256) & (F.length("word") > 0))
+    # longer words where they are frequent, so that no word's texts elsewhere outweigh a task
+    short = counts.filter((F.length("word") > 0) & ((F.length("word") <= 256) | (F.col("c") >= F.length("word"))))
     # words by the size of their counts, sixteen steps a doubling: a thousand rows at most
     step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
     low, n = 1 << 30, 1  # the end token
@@ -335,13 +336,15 @@ def _contexts(cls, later: np.ndarray, classes: int):
 
 
 def _insert(cls, g, classes: int):
-    """Over (k, n) of _contexts, sorted, words whole: each word's best class against the fixed ones."""
+    """Over (k, n) of _contexts from all tasks, sorted, words whole: each word's best class against the fixed ones."""
     slots = 2 * classes + 1
 
     def run(batches):
         k, n = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def close(k, n):
+            k, at = np.unique(k, return_inverse=True)
+            n = np.bincount(at, n, len(k))
             w, at = np.unique(k // slots, return_inverse=True)
             return _summed(w, _best_of(g, at, k % slots, n, cls[w]))
 
@@ -468,7 +471,7 @@ def cluster(numbers: DataFrame, vocabulary: Vocabulary, items: int = ITEMS, clas
     later[core:n_words] = v.counts[core:] >= max(1, seen)
     slots = 2 * classes + 1
     for _ in range(rounds if later.any() else 0):
-        found = ids.mapInArrow(_contexts(cls, later, classes), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+        found = ids.mapInArrow(_contexts(cls, later, classes), "k long, n long")
         found = found.repartition(F.floor(F.col("k") / F.lit(slots))).sortWithinPartitions("k").mapInArrow(_insert(cls, g, classes), "k long, n long").toArrow()  # a row for each later word
         cls = cls.copy()
         cls[found.column("k").to_numpy()] = found.column("n").to_numpy()

@@ -501,6 +501,12 @@ def test_words_beyond_the_frequent_ones_are_clustered(spark):
     assert all(without.size[k] == sum(n for w, n in c.items() if without.cls[number.get(w, v.group(w) if w not in number else 0)] == k) for k in range(classes))
 
 
+def test_long_words_are_numbered_where_they_are_frequent(spark):
+    df = spark.createDataFrame([(i, "-" * 300 + " a " + "=" * 400) for i in range(350)], "doc_id long, text string")
+    scored, _, v = brown.fit_and_score(df, F.lit(False))
+    assert set(v.words) == {b"", b"-" * 300, b"a"} and scored.filter("n_known = 4").count() == 350
+
+
 def test_moves_of_many_words_equal_single_ones():
     import numpy as np
 
