@@ -5,8 +5,9 @@ each 64-bit word with a bit set. They never deny a key that is there.
 
 A probe meets ranges by buckets: cuts, taken from the ranges' own ends, divide
 the keys' axis; a range lies in the buckets it spans and a probe in one, so both
-join by equality. Bloom words are looked up only for the blobs that the level
-before allows, by blob and word.
+join by equality. For pairs that are there already Bloom words are looked up by
+blob and word; a tree finds the pairs from bits laid out blob beside blob, 64 at
+a time, so that no row is made for a pair that a filter denies.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cuts of the keys' axis at most.
 CUTS = 1023
+#: Parts of a tree's blobs: so many, if their bits fit; the bytes that these may take in a task; blobs that share a number.
+PARTS, PART_BYTES, SLICE = 32, 1 << 26, 64
 
 
 def range_filter(log: DataFrame) -> DataFrame:
@@ -87,9 +92,14 @@ def bloom_bits(elements: int, hashers: int, max_bits: int, fpr: float) -> int:
     return int(max(least, min(max_bits, wanted)))
 
 
+def _hashes(bits: int) -> tuple[Column, Column]:
+    """First bit position of key, and the step to the next ones."""
+    return F.pmod(F.xxhash64("key"), F.lit(bits)), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(bits - 1)) + 1
+
+
 def _positions(hashers: int, bits: int) -> Column:
     """Bit positions of key by double hashing."""
-    a, b = F.pmod(F.xxhash64("key"), F.lit(bits)), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(bits - 1)) + 1
+    a, b = _hashes(bits)
     return F.array_distinct(F.array(*(F.pmod(a + b * F.lit(i), F.lit(bits)) for i in range(hashers))))
 
 
@@ -112,6 +122,97 @@ def bloom_check(words: DataFrame, pairs: DataFrame, hashers: int, bits: int, by:
     return set_.groupBy("key", by, "need").agg(F.countDistinct("p").alias("n")).filter("n = need").select("key", by)
 
 
+def _part_cuts(ranges: DataFrame, bits: int) -> list[int]:
+    """Blob ids that part the blobs evenly, in at most PARTS parts, or more if
+    the bits of one would take more than PART_BYTES; a part has SLICE blobs or more."""
+    most = max(1, PART_BYTES // (8 * bits)) * SLICE  # blobs of a part
+    n, ends = ranges.agg(F.count("*"), F.percentile_approx("blob_id", [i / PARTS for i in range(1, PARTS)])).first()
+    parts = max(min(PARTS, n // SLICE), -(-n // most))
+    if parts > PARTS:
+        ends = ranges.agg(F.percentile_approx("blob_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
+        return sorted(set(ends))
+    return sorted({ends[round(i * PARTS / parts) - 1] for i in range(1, parts)})
+
+
+def _allowing(hashers: int, bits: int):
+    """For ``bloom_pairs``: rows of a part are its ranges (kind 0), words (1)
+    and probes (2), in this order. The bits of 64 blobs at one position are one
+    number; where those at all positions of a key have a common bit, its blob
+    allows the key."""
+    width = -(-bits // 64) * 64
+
+    def pairs(keys, first, step, table, blobs, low, high):
+        for j, held in enumerate(table):
+            common = held[first]
+            for i in range(1, hashers):
+                common &= held[(first + step * i) % bits]
+            rows = np.flatnonzero(common)
+            which, bit = np.nonzero(np.unpackbits(common[rows].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            rows, at = rows[which], j * SLICE + bit
+            for s in range(0, len(rows), 50_000):
+                r, b = pa.array(rows[s : s + 50_000]), at[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([keys.take(r), pa.array(blobs[b]), low.take(pa.array(b)), high.take(pa.array(b))], ["key", "blob_id", "low", "high"])
+
+    def look(batches):
+        part, table, found = None, None, []
+        for batch in batches:
+            p, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            starts = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (kind[1:] != kind[:-1])]) if len(p) else []
+            for s, e in zip(starts, [*starts[1:], len(p)]):
+                _, _, blob, x, y, key, high = batch.slice(s, e - s).columns
+                if p[s] != part:
+                    part, table, found = p[s], None, []
+                if kind[s] == 0:
+                    found.append((blob.to_numpy(), key, high))
+                    continue
+                if table is None and found:
+                    blobs = np.concatenate([f[0] for f in found])
+                    order = np.argsort(blobs)
+                    blobs, low, highs = blobs[order], *(pa.concat_arrays([f[i] for f in found]).take(pa.array(order)) for i in (1, 2))
+                    table = np.zeros((-(-len(blobs) // SLICE), width), np.uint64)
+                if table is None:
+                    continue
+                x, y = x.to_numpy(), y.to_numpy()
+                if kind[s] == 2:
+                    yield from pairs(key, x, y, table, blobs, low, highs)
+                    continue
+                blob = blob.to_numpy()
+                at = np.minimum(np.searchsorted(blobs, blob), len(blobs) - 1)
+                mine = blobs[at] == blob
+                at, x, y = at[mine], x[mine], y[mine]
+                row, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(y, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                at = at[row]
+                np.bitwise_or.at(table, (at // SLICE, x[row] * 64 + bit), np.uint64(1) << (at % SLICE).astype(np.uint64))
+
+    return look
+
+
+def bloom_pairs(ranges: DataFrame, words: DataFrame, probes: DataFrame, hashers: int, bits: int) -> DataFrame:
+    """(key, blob_id) of the blobs whose range and Bloom filter allow the key,
+    for distinct keys. Blobs are parted by id, a key goes once to each part
+    whose range allows it, and a part's task holds the bits of its blobs and
+    reads the keys one batch after another. So what is shuffled are the filters, each
+    key at most as often as there are parts, and no pair of key and blob."""
+    cuts = _part_cuts(ranges.filter("low is not null"), bits)
+    part = _bucket(F.col("blob_id"), cuts)
+    ends = ranges.filter("low is not null").groupBy(part.alias("part")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    areas = ranges.sparkSession.createDataFrame(ends.toArrow(), ends.schema)  # a row for each part
+    first, step = _hashes(bits)
+    keyed = candidates(areas, probes, "part").select("key", "part", first.alias("x"), step.alias("y"))
+    # words that no probe asks for stay; a filter has few word numbers
+    asked = probes.filter("key is not null").select(F.explode(_positions(hashers, bits)).alias("p")).select(F.floor(F.col("p") / 64).alias("word")).distinct()
+    mine = words.join(F.broadcast(asked), "word", "left_semi")
+    none = F.lit(None)
+    rows = (
+        ranges.filter("low is not null").select(part.alias("part"), F.lit(0).alias("kind"), "blob_id", none.cast("long").alias("x"), none.cast("long").alias("y"), F.col("low").alias("key"), "high")
+        .unionByName(mine.select(part.alias("part"), F.lit(1).alias("kind"), "blob_id", F.col("word").alias("x"), F.col("bits").alias("y"), none.alias("key"), none.alias("high")))
+        .unionByName(keyed.select("part", F.lit(2).alias("kind"), none.cast("long").alias("blob_id"), "x", "y", "key", none.alias("high")))
+    )
+    kind = rows.schema["key"].dataType.simpleString()
+    hits = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_allowing(hashers, bits), f"key {kind}, blob_id long, low {kind}, high {kind}")
+    return hits.filter("key >= low and key <= high").select("key", "blob_id")
+
+
 def bloom_to_raw(words: DataFrame, hashers: int, bits: int, by: str = "blob_id") -> DataFrame:
     """(blob_id, raw): each filter as bytes: hash functions and bits as 64-bit
     numbers, then its words with a bit set, number and bits."""
@@ -262,16 +363,17 @@ class FilterTree:
         words = None if self.words is None else merge_blooms(self.words, F.lit(0).cast("long")).withColumnRenamed("group_id", "blob_id")
         return replace(self, ranges=named, words=words)
 
-    def _allowed(self, probes: DataFrame) -> DataFrame:
-        return combined(candidates(self.ranges, probes), self.words, self.hashers, self.bits)
-
     def possible(self, probes: DataFrame) -> DataFrame:
-        """(key, blob_id) that the filters of the group and of the blob allow: a
-        blob's are looked at only where its group's allow the key."""
-        first = self.groups()._allowed(probes.select("key").distinct()).withColumnRenamed("blob_id", "_g")
+        """(key, blob_id) that the filters of the group and of the blob allow.
+        A group's filters are the unions of its blobs', and allow what any of
+        these does: with Bloom filters, ranges of larger groups and 64 blobs'
+        bits at a time stand for the level above; else a blob's range is looked
+        at only where its group's allows the key."""
+        if self.words is not None and self.hashers:
+            return bloom_pairs(self.ranges, self.words, probes.select("key").distinct(), self.hashers, self.bits)
+        first = candidates(self.groups().ranges, probes.select("key").distinct()).withColumnRenamed("blob_id", "_g")
         leaves = self.ranges.withColumn("_g", self._group())
-        pairs = first.join(leaves, "_g").filter("key >= low and key <= high").select("key", "blob_id")
-        return combined(pairs, self.words, self.hashers, self.bits)
+        return first.join(leaves, "_g").filter("key >= low and key <= high").select("key", "blob_id")
 
     def visit(self, probes: DataFrame, reverse: bool = False) -> DataFrame:
         """key, blob_ids: the blobs to look into, in order of id or from the newest."""

@@ -259,3 +259,46 @@ def test_crc32c_of_blocks():
     rnd = random.Random(1)
     values = [rnd.randbytes(n) for n in (0, 1, checksum.BLOCK - 1, checksum.BLOCK, checksum.BLOCK + 1, 3 * checksum.BLOCK, 5000, 0, 10_240)]
     assert crc32c_many(values).tolist() == [plain(v) for v in values] == [checksum.crc32c_one(v) for v in values] and len(crc32c_many([])) == 0
+
+
+def _shuffled(spark, df):
+    """Rows of df, and how many rows were shuffled for them."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    rows = df().collect()
+    return rows, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_trees_shuffle_no_pairs(spark):
+    """All blobs' ranges overlap: the filters name the pairs that each blob's
+    own name, and four times the log shuffles no more than five times the rows."""
+    counts = []
+    for n in (10_000, 40_000):
+        rows = spark.range(n).select((F.xxhash64("id") % (n // 10)).alias("key"), F.floor(F.col("id") / 5).alias("blob_id")).localCheckpoint()
+        tree = filters.FilterTree.of(rows, 2, 200)
+        probes = rows.select("key").distinct().localCheckpoint()
+        got, shuffled = _shuffled(spark, lambda: tree.possible(probes))
+        counts.append(shuffled)
+        if n == 10_000:
+            want = filters.bloom_check(tree.words, filters.candidates(tree.ranges, probes), 2, 200).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > rows.distinct().count()
+    assert counts[1] < 5 * counts[0], counts
+    few, shuffled = _shuffled(spark, lambda: tree.possible(probes.limit(1)))
+    assert few and shuffled < counts[1] / 2
+
+
+def test_parts_of_a_tree_follow_the_bits(spark):
+    """Wide filters, many hash functions, gaps between blobs' ids, null keys and texts."""
+    rows = spark.range(3_000).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("k"), F.xxhash64("id") % 500)).alias("key"), (F.floor(F.col("id") / 10) * 1_000_003 - 7).alias("blob_id")).localCheckpoint()
+    probes = rows.select("key").distinct()
+    for hashers, bits in ((3, 1_000), (1, 70)):
+        tree = filters.FilterTree.of(rows, hashers, bits)
+        want = sorted(map(tuple, filters.bloom_check(tree.words, filters.candidates(tree.ranges, probes), hashers, bits).collect()))
+        assert sorted(map(tuple, tree.possible(probes).collect())) == want
+    assert len(filters._part_cuts(tree.ranges, 8_388_608)) == 4 and len(filters._part_cuts(tree.ranges, 70)) == 3
