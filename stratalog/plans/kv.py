@@ -469,9 +469,9 @@ def kv_quarantine(spark, sf_dir):
     return integrity.triage(blobs).select("blob_id", "action")
 
 
-def _contents(spark, sf_dir):
-    """The events' log as blob files' bytes."""
-    return blob_files.blob_contents(tables.events(spark, sf_dir).withColumn("key", key_of_long(F.col("key"))))
+def _keyed(spark, sf_dir):
+    """The events' log with keys of bytes, as blob files hold it."""
+    return tables.events(spark, sf_dir).withColumn("key", key_of_long(F.col("key")))
 
 
 def _long_of(key):
@@ -481,35 +481,30 @@ def _long_of(key):
 @query(f"WITH {_E} SELECT k, t AS \"timestamp\", blob_id, CAST(gone AS INT) AS is_deleted, octet_length(encode(data)) AS bytes, row_number() OVER (PARTITION BY blob_id ORDER BY seq) - 1 AS n FROM e")
 def kv_blob_round_trip(spark, sf_dir):
     """Records written as blob files' bytes and read again, all checksums held."""
-    rows = blob_files.parse_blobs(_contents(spark, sf_dir)).filter("error_kind is null")
+    rows = blob_files.parse_log(_keyed(spark, sf_dir)).filter("error_kind is null")
     return rows.select(_long_of("key").alias("k"), "timestamp", "blob_id", F.col("is_deleted").cast("int").alias("is_deleted"), F.col("data_size").alias("bytes"), (F.col("seq") % (1 << 32)).alias("n"))
 
 
 @query(f"WITH {_E} SELECT blob_id, k, CAST(20 + coalesce(sum({_SIZE}) OVER (PARTITION BY blob_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS blob_offset FROM e")
 def kv_index_regenerate(spark, sf_dir):
     """The index that the blobs' bytes give."""
-    index = blob_files.headers_of(blob_files.parse_blobs(_contents(spark, sf_dir), check_data=False))
+    index = blob_files.headers_of(blob_files.parse_log(_keyed(spark, sf_dir), check_data=False))
     return index.select("blob_id", _long_of("key").alias("k"), "blob_offset")
 
 
-def _damage_headers(batches):
+def _damage_headers(blob, raw):
     """Break the checksum of every record header that the deterministic damage names, by the events' numbers."""
-    for pdf in batches:
-        out = []
-        for blob, raw in zip(pdf.blob_id, pdf.content):
-            new = bytearray(raw)
-            for n, r in enumerate(blob_files.unpack_blob(raw, check_data=False)):
-                if (blob * 1000 + n) * 7919 % 97 < 6:
-                    new[r["blob_offset"] + 16 + len(r["key"]) + 40] ^= 0x55
-            out.append(bytes(new))
-        yield pdf.assign(content=out)
+    new = bytearray(raw)
+    for n, r in enumerate(blob_files.unpack_blob(raw, check_data=False)):
+        if (blob * 1000 + n) * 7919 % 97 < 6:
+            new[r["blob_offset"] + 16 + len(r["key"]) + 40] ^= 0x55
+    return bytes(new)
 
 
 @query(f"WITH {_E}, b AS (SELECT *, {_BAD} FROM e), c AS (SELECT *, bad AND coalesce(lag(bad) OVER (PARTITION BY blob_id ORDER BY seq), false) AS two FROM b), d AS (SELECT *, sum(CAST(two AS INT)) OVER (PARTITION BY blob_id ORDER BY seq) AS n FROM c) SELECT k, t AS \"timestamp\", blob_id, row_number() OVER (PARTITION BY blob_id ORDER BY seq) - 1 AS place FROM d WHERE n = 0 AND NOT bad")
 def kv_recover_blobs(spark, sf_dir):
     """Blobs with damaged headers, recovered as bytes and read again: one bad record is passed over, two in a row end the copy."""
-    damaged = _contents(spark, sf_dir).mapInPandas(_damage_headers, "blob_id long, content binary")
-    rows = blob_files.parse_blobs(blob_files.recover_contents(damaged)).filter("error_kind is null")
+    rows = blob_files.parse_log(_keyed(spark, sf_dir), _damage_headers, blob_files.recover_content).filter("error_kind is null")
     return rows.select(_long_of("key").alias("k"), "timestamp", "blob_id", (F.col("seq") % (1 << 32)).alias("place"))
 
 

@@ -143,25 +143,54 @@ def read_blobs(spark: SparkSession, path: str, check_data: bool = True) -> DataF
     return parse_blobs(named, check_data)
 
 
+def _frames(blob: int, raw: bytes, check_data: bool):
+    """A blob's records as frames of 2,000 at most."""
+    records = enumerate(unpack_blob(raw, check_data))
+    while rows := [{**dict.fromkeys(_COLUMNS), "blob_id": blob, "seq": (blob << 32) + n, **r} for n, r in islice(records, 2000)]:
+        yield pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int64" for c in ("timestamp", "blob_offset", "meta_size", "data_size", "data_checksum", "header_checksum")})
+
+
 def parse_blobs(contents: DataFrame, check_data: bool = True) -> DataFrame:
-    """All records of blobs (blob_id, content), as ``read_blobs`` gives them."""
+    """All records of blobs (blob_id, content), as ``read_blobs`` gives them.
+    Spark hands over up to 10,000 rows at once; for blobs made of a log see
+    ``parse_log``."""
 
     def parse(batches):
         for pdf in batches:
             for blob, raw in zip(pdf.blob_id, pdf.content):
-                records = enumerate(unpack_blob(raw, check_data))
-                while rows := [{**dict.fromkeys(_COLUMNS), "blob_id": blob, "seq": (blob << 32) + n, **r} for n, r in islice(records, 2000)]:
-                    yield pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int64" for c in ("timestamp", "blob_offset", "meta_size", "data_size", "data_checksum", "header_checksum")})
+                yield from _frames(blob, raw, check_data)
 
     return contents.select("blob_id", "content").mapInPandas(parse, SCHEMA)
 
 
+def parse_log(log: DataFrame, *steps, check_data: bool = True) -> DataFrame:
+    """The records of a log written as blobs' bytes and read again, as
+    ``read_blobs`` gives them. steps: what becomes of the bytes in between, each
+    a function of a blob's id and bytes. A task holds one blob, as bytes never
+    leave it."""
+
+    def parse(blob, raw):
+        for step in steps:
+            raw = step(blob, raw)
+        frames = list(_frames(blob, raw, check_data))
+        return pd.concat(frames) if frames else pd.DataFrame(columns=_COLUMNS)
+
+    return _each_blob(log, parse, SCHEMA)
+
+
+def recover_content(blob: int, raw: bytes) -> bytes:
+    """The sound records of a blob's bytes: a step of ``parse_log``."""
+    return pack_blob(recovered(raw))
+
+
 def recover_contents(contents: DataFrame, skip_wrong: bool = True) -> DataFrame:
-    """(blob_id, content) of the sound records of blobs (blob_id, content)."""
+    """(blob_id, content) of the sound records of blobs (blob_id, content).
+    Spark hands over up to 10,000 rows at once."""
 
     def copy(batches):
         for pdf in batches:
-            yield pd.DataFrame({"blob_id": pdf.blob_id, "content": [pack_blob(recovered(raw, skip_wrong)) for raw in pdf.content]})
+            for blob, raw in zip(pdf.blob_id, pdf.content):
+                yield pd.DataFrame({"blob_id": [blob], "content": [pack_blob(recovered(raw, skip_wrong))]})
 
     return contents.select("blob_id", "content").mapInPandas(copy, "blob_id long, content binary")
 
@@ -180,16 +209,23 @@ def blob_headers(spark: SparkSession, path: str) -> DataFrame:
     return named.select(F.col("id").cast("long").alias("blob_id"), *(F.when(whole, number(at, n)).alias(c) for c, at, n in (("magic", 0, 8), ("version", 8, 4), ("flags", 12, 8))), F.col("length").alias("file_size"))
 
 
-def blob_contents(log: DataFrame) -> DataFrame:
-    """(blob_id, content): the bytes of each blob, records by seq. A blob is one
-    task's work; rotation bounds it."""
+def _each_blob(log: DataFrame, f, schema: str) -> DataFrame:
+    """The frames f(blob_id, bytes) of each blob of a log, records by seq. A blob
+    is one task's work; rotation bounds it. f runs in the task that makes the
+    bytes, so that a task holds one blob: rows of bytes would be handed from
+    step to step 10,000 at once."""
 
     def build(key, pdf):
         pdf = pdf.sort_values("seq")
         raw = pack_blob((bytes(k), int(t), dict(m or {}), bytes(d if d is not None else b""), bool(x)) for k, t, m, d, x in zip(pdf.key, pdf.timestamp, pdf.meta, pdf.data, pdf.is_deleted))
-        return pd.DataFrame({"blob_id": [key[0]], "content": [raw]})
+        return f(int(key[0]), raw)
 
-    return log.select("blob_id", "seq", "key", "timestamp", "meta", "data", "is_deleted").groupBy("blob_id").applyInPandas(build, "blob_id long, content binary")
+    return log.select("blob_id", "seq", "key", "timestamp", "meta", "data", "is_deleted").groupBy("blob_id").applyInPandas(build, schema)
+
+
+def blob_contents(log: DataFrame) -> DataFrame:
+    """(blob_id, content): the bytes of each blob."""
+    return _each_blob(log, lambda blob, raw: pd.DataFrame({"blob_id": [blob], "content": [raw]}), "blob_id long, content binary")
 
 
 def write_blobs(log: DataFrame, directory: str, prefix: str = "log") -> DataFrame:
@@ -199,17 +235,14 @@ def write_blobs(log: DataFrame, directory: str, prefix: str = "log") -> DataFram
     if not prefix or "." in prefix:
         raise ValueError("a prefix must not be empty or hold a dot")
 
-    def save(batches):
+    def save(blob, raw):
         import os
 
-        for pdf in batches:
-            paths = []
-            for blob, raw in zip(pdf.blob_id, pdf.content):
-                paths.append(os.path.join(directory, f"{prefix}.{blob}.blob"))
-                _save(paths[-1], raw)
-            yield pd.DataFrame({"blob_id": pdf.blob_id, "path": paths, "bytes": [len(x) for x in pdf.content]})
+        path = os.path.join(directory, f"{prefix}.{blob}.blob")
+        _save(path, raw)
+        return pd.DataFrame({"blob_id": [blob], "path": [path], "bytes": [len(raw)]})
 
-    return blob_contents(log).mapInPandas(save, "blob_id long, path string, bytes long")
+    return _each_blob(log, save, "blob_id long, path string, bytes long")
 
 
 def _save(path: str, raw: bytes) -> None:
